@@ -35,6 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files behind earlier tables go once the driver has dropped their plans
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -213,3 +214,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = moves.groupBy("to").agg(F.min(F.least("node", "to")).alias("component"))
     return moves.join(least, "to").select("node", "component")
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A broadcast of a narrow ``df`` that was counted to have at most ``rows``; otherwise ``df`` itself, for a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing
+from . import byte_bpe, language_id, licenses, ngram_join, packing, substring_dedup, url_rules, vectors
 from .common import stored
 
 
@@ -14,6 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [url_rules.Rule("block", "net", "/"), url_rules.Rule("allow", "example.net", "/en/"), url_rules.Rule("block", "example.com", "/de/"), url_rules.Rule("allow", "org", "/fr/")]
+
+
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with whether the document that their path names is labelled of low quality or toxic."""
+    doc = F.regexp_extract(url_rules.path(F.col("url")), r"/(\d+)", 1)
+    named = table(spark, sf_dir, "pages").select("url", doc.try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return named.join(labels, "doc_id").select("url", "bad")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = url_rules.mine(labelled_pages(spark, sf_dir))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
+
+
+def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +55,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("key", "doc_id")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = language_id.held_out(F.col("doc_id"))
