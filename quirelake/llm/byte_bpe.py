@@ -17,12 +17,11 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +32,14 @@ CHUNK = 32_768
 OVERLAP = 512
 #: The longest literal of the pattern; a match that starts nearer to a cut may change with more text.
 _LOOK = 3
+_SLICE = 2 << 20
 _WHITE = r"\t-\r \x85\xa0  -     　"
 
 
-def compiled(pattern: str) -> regex.Pattern:
+def compiled(pattern: str) -> Any:
     """The pattern with white space spelled out as Unicode has it, whatever library runs it."""
+    import regex
+
     out, depth, i = [], 0, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -59,24 +61,22 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile("".join(out))
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Encoder:
     """Ids of pre-tokens, remembered up to a bounded number of them."""
 
-    LIMIT = 200_000
+    LIMIT = 50_000
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        import tiktoken
+
         self.match = compiled(pattern)
-        self.one = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.one = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=_ranks(path), special_tokens={})
         self.known: dict[str, list[int]] = {}
-        words = sorted((b, a) for a, b in ranks.items())
-        size = words[-1][0] + 1 if words else 0
-        self.length = np.full(size, -1, np.int64)
-        self.length[[b for b, _ in words]] = [len(a) for _, a in words]
-        self.begin = np.zeros(size, np.int64)
-        self.begin[[b for b, _ in words]] = np.cumsum([0, *(len(a) for _, a in words)])[:-1]
-        self.bytes = np.frombuffer(b"".join(a for _, a in words), np.uint8)
 
     def piece(self, text: str) -> list[int]:
         ids = self.known.get(text)
@@ -97,6 +97,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+class Decoder:
+    """The bytes of each id, in arrays."""
+
+    def __init__(self, path: str):
+        words = sorted((b, a) for a, b in _ranks(path).items())
+        size = words[-1][0] + 1 if words else 0
+        self.length = np.full(size, -1, np.int64)
+        self.length[[b for b, _ in words]] = [len(a) for _, a in words]
+        self.begin = np.zeros(size, np.int64)
+        self.begin[[b for b, _ in words]] = np.cumsum([0, *(len(a) for _, a in words)])[:-1]
+        self.bytes = np.frombuffer(b"".join(a for _, a in words), np.uint8)
+
+
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 _ASCII = np.zeros(256, bool)
 _ASCII[[0x20, *range(0x09, 0x0E)]] = True
 _OTHER_WHITE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -163,7 +181,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, limit=_SLICE):
             yield pa.RecordBatch.from_arrays([b.column("other"), encode_column(b.column("text"), e)], ["other", "ids"])
 
     short = base.where(~long).mapInArrow(whole, schema)
@@ -179,7 +197,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, limit=_SLICE):
             heads, tails = [], []
             for s, t in zip(b.column("s").to_pylist(), b.column("text").to_pylist()):
                 sure = _bounds(t, e)
@@ -197,7 +215,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, limit=_SLICE):
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), encode_column(b.column("text"), e)], ["row", "k", "ids"])
 
     part_ids = tied.mapInArrow(pieces, "row long, k int, ids array<int>")
@@ -209,7 +227,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return out.select(*[F.col(f"other.{v}").alias(c) for c, v in name.items()], F.col("ids").alias(ids))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that ``ids`` stand for in place of the ids."""
     place = df.columns.index(ids)
     fields = [T.StructField(out, T.BinaryType()) if f.name == ids else f for f in df.schema if f.name != out or f.name == ids]
@@ -217,7 +235,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     place = [f.name for f in fields].index(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        e = decoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
