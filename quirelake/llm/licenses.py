@@ -59,14 +59,18 @@ def winnow(hashes: np.ndarray, inside: np.ndarray, window: int = WINDOW) -> np.n
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
-    value = np.where(inside, hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded = np.concatenate((value, np.full(window - 1, 0xFFFFFFFFFFFFFFFF, np.uint64)))
-    best, at = padded[:n].copy(), np.arange(n)
-    for j in range(1, window):
-        other = padded[j : j + n]
-        won = other <= best
-        best = np.where(won, other, best)
-        at = np.where(won, np.arange(n) + j, at)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    value = np.concatenate((np.where(inside, hashes, top), np.full(window - 1, top)))
+    at, width = np.arange(len(value)), 1
+
+    def later(at: np.ndarray, by: int) -> np.ndarray:
+        """The smaller of each window and the one ``by`` further on."""
+        here, there = at[: len(at) - by], at[by:]
+        return np.where(value[there] <= value[here], there, here)
+
+    while 2 * width <= window:
+        at, width = later(at, width), 2 * width
+    at = later(at, window - width) if window > width else at
     at = np.unique(at[at < n])
     return at[inside[at]]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, licenses, ngram_join, packing, substring_dedup, url_rules, vectors
+from . import byte_bpe, language_id, licenses, media, ngram_join, packing, substring_dedup, suffix_dedup, url_rules, vectors
 from .common import stored
 
 
@@ -25,6 +25,16 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(labels, "doc_id").select("url", "bad")
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so each vector of ``embeddings`` is rendered as one."""
+    images = media.render(table(spark, sf_dir, "embeddings"))
+    return media.near_copies(images).withColumnRenamed("image_id", "vec_id")
+
+
+def op2_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     mined = url_rules.mine(labelled_pages(spark, sf_dir))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
