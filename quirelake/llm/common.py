@@ -31,11 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quirelake-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
+
+    Shuffle files behind the table are removed as soon as it is written, so a chain of stored
+    tables needs the disk of one step at a time.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files behind earlier tables go once the driver has dropped their plans
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
