@@ -7,6 +7,8 @@ inverted index (bounded by the templates, so it travels with the task); seeds on
 candidate, which is aligned within a band and reported with matched coverage and span.
 No shuffle: each document is scanned where it is read.
 
+The band is a fifth of the template's words, at most ``BAND``, so that repeated short notices stay apart.
+
 Cases: null or empty text has no match; a text can match several templates, or one several times;
 templates shorter than K + WINDOW - 1 words are refused; repeated rows are scanned each; spans count
 characters of the text as it is.
@@ -144,7 +146,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
             out = []
             for row, which, group in _clusters(seeds, w.first, index, band):
                 own, template = w.hash[w.first[row] : w.first[row + 1]], index.words[which]
-                n, first, last = align(own, template, group, band)
+                n, first, last = align(own, template, group, _band(template, band))
                 if n >= min_coverage * len(template):
                     base = w.first[row]
                     begin = w.raw[w.rows[row] :]
@@ -157,12 +159,17 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
     return rows.mapInArrow(run, schema)
 
 
+def _band(template: np.ndarray, most: int) -> int:
+    """Narrow for short templates, so that one match doesn't stand for its neighbour."""
+    return min(most, 1 + len(template) // 5)
+
+
 def _clusters(seeds: list[tuple[int, int, int, int]], first: np.ndarray, index: _Index, band: int) -> Iterator[tuple[int, int, int]]:
     """Row, template and diagonal of each candidate: seeds of nearby diagonals are one."""
     found = sorted((row, which, p - int(first[row]) - place) for row, which, p, place in seeds)
     last = None
     for row, which, diagonal in found:
-        if last and last[:2] == (row, which) and diagonal - last[2] <= band // 2:
+        if last and last[:2] == (row, which) and diagonal - last[2] <= _band(index.words[which], band) // 2:
             continue
         last = (row, which, diagonal)
         yield last
