@@ -64,6 +64,11 @@ def base_name(s: Column) -> Column:
     return F.regexp_replace(s, r"(?i)\.pdf$", "")
 
 
+def saved_name(s: Column, incremental: bool) -> Column:
+    """What a saved file is called: ``-appended`` or ``-rewritten`` before the ending."""
+    return F.concat(base_name(s), F.lit("-appended.pdf" if incremental else "-rewritten.pdf"))
+
+
 def latin1(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 

@@ -27,6 +27,8 @@ def resolve(df: DataFrame, objects: DataFrame, num: str, value: str = "value") -
 
 def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     """Objects that (file_id, num) roots reach over (file_id, src, dst) edges, with the fewest steps."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
     frontier = seen = roots.select("file_id", "num").distinct().withColumn("steps", F.lit(0))
     for k in range(1, depth + 1):
         step = frontier.join(edges, (edges["file_id"] == frontier["file_id"]) & (edges["src"] == frontier["num"])).select(frontier["file_id"], F.col("dst").alias("num")).distinct()

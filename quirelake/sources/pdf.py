@@ -263,6 +263,32 @@ class PdfCorpus:
         ordered = F.array_sort(F.collect_list(F.struct("run_seq", "text")))
         return self.table("text_runs").groupBy("file_id", "page_index").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("text"), F.count("*").alias("runs"))
 
+    def search(self, query: str, **options) -> DataFrame:
+        """``operators.search.search`` over this corpus."""
+        from ..operators.search import search
+
+        return search(self, query, **options)
+
+    def inventory(self) -> DataFrame:
+        from ..operators.pages import inventory
+
+        return inventory(self)
+
+    def facts(self) -> DataFrame:
+        from ..operators.pages import facts
+
+        return facts(self)
+
+    def edit(self, edits: DataFrame, incremental: bool = True, compress: bool = False) -> DataFrame:
+        from ..operators.edit import edit
+
+        return edit(self, edits, incremental, compress)
+
+    def save(self, incremental: bool = False, compress: bool = False) -> DataFrame:
+        from ..operators.edit import save
+
+        return save(self, incremental, compress)
+
     def save_tables(self, path: str, kinds: list[str] | None = None) -> PdfCorpus:
         """Write tables as Parquet below ``path`` and read them from there."""
         spark, tables = self.contents.sparkSession, {}

@@ -86,10 +86,19 @@ def test_saved_tables(spark, tmp_path):
     assert found(c, "the") == [(6, 9, "the")]
 
 
+def test_corpus_methods(spark):
+    from quirelake.functions import text as t
+
+    c = corpus(spark, b.document("find me"))
+    assert c.search("me").count() == 1 and c.inventory().count() == 6 and c.facts().first().chars == 7
+    assert PdfCorpus(c.save()).page_text.first().text == "find me"
+    names = c.contents.select(t.saved_name(F.lit("a.PDF"), True).alias("x"), t.saved_name(F.lit("b"), False).alias("y")).first()
+    assert tuple(names) == ("a-appended.pdf", "b-rewritten.pdf")
+
+
 def test_references(spark):
     c = corpus(spark, b.document("a"))
     e = c.object_edges.select("file_id", "src", F.col("dst_num").alias("dst"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     reach = graph.reachable(spark, e, spark.createDataFrame([("f0", 1)], "file_id string, num long"))
     assert {r.num: r.steps for r in reach.collect()} == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3}
     got = graph.resolve(spark.createDataFrame([("f0", 4), ("f0", 77)], "file_id string, num long"), c.objects, "num").collect()
