@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, components, list_array, mix, signed, sized, slices, stored
@@ -41,6 +41,10 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _least(n: Column, percent: int) -> Column:
+    return F.ceil(n * percent / 100)
+
+
 def _extra(n: int) -> int:
     return 1 + n // 20
 
@@ -120,23 +124,23 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGL
     index = base.where("n > 0 and id is not null").join(sized(copies), "id", "left_anti").select("id", "n", F.explode("prefix").alias("h"))
     shared = index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = stored(index.join(shared, "h"))
-    least = F.expr(f"cast(ceil({percent} * n / 100.0) as long)")
-    need = F.lit(1) + F.floor(least / 20)  # the partner has at least so many elements
+    need = lambda n: F.lit(1) + F.floor(_least(n, percent) / 20)  # noqa: E731  (the partner has at least so many elements)
     entries = stored(_pruned(alive, need))
     links = None
     if not entries.isEmpty():
         ids = stored(entries.select("id").distinct())
         sets = stored(_sets(rows.join(sized(ids), "id", "left_semi"), k))
-        lead = entries.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("x"), F.min(F.struct(F.xxhash64("id").alias("k"), "id", "n")).alias("y")).where("c > 1")
+        # leaders: the smallest id, and the document with the largest shared part (an original among its edited copies)
+        lead = entries.groupBy("h").agg(F.min(F.struct("id", "n")).alias("x"), F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "id", "n")).alias("y"))
         near = entries.join(lead, "h").select("id", "n", F.explode(F.array("x", F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n")))).alias("m"))
+        near = near.groupBy("id", "n", "m").agg(F.count("*").alias("c")).where(F.col("c") >= need(F.col("n")))
         pairs = _fitting(near.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("m.id").alias("b"), F.col("m.n").alias("nb")), percent)
         links = stored(_verified(stored(pairs), sets, percent))
         found = stored(components(links))
         rest = _residue(entries, found, need)
         if rest is not None:
-            pairs = stored(_fitting(_divide_skip(rest, need), percent))
-            more = stored(_verified(pairs, sets, percent))
-            if not more.isEmpty():
+            more = _searched(rest, sets, percent)
+            if more is not None and not more.isEmpty():
                 found = stored(components(links.unionByName(more)))
         reps = reps.join(found, reps["rep"] == found["node"], "left").select("whole", F.coalesce("component", "rep").alias("component_id"))
     else:
@@ -146,9 +150,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGL
 
 
 def _pruned(entries: DataFrame, need) -> DataFrame:
-    """Entries of documents that have at least T of them."""
-    enough = entries.groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("id")
-    return entries.join(enough, "id", "left_semi")
+    """Entries of documents that have at least T of them, with that count as c."""
+    enough = entries.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n_")).select("id", "c", "n_")
+    enough = enough.where(F.col("c") >= need(F.col("n_"))).drop("n_")
+    return entries.drop("c").join(enough, "id")
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
@@ -158,26 +163,127 @@ def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _residue(entries: DataFrame, found: DataFrame, need) -> DataFrame | None:
-    """Entries of lists over several components, of documents with T such entries; None if there are none."""
+    """Documents (id, g) that have T entries in lists over several components; None if there are none."""
     own = entries.join(found, entries["id"] == found["node"], "left").select("h", "id", "n", F.coalesce("component", "id").alias("g"))
+    own = _mixed(own, need)
+    return None if own is None else own.select("id", "g").distinct()
+
+
+def _mixed(own: DataFrame, need) -> DataFrame | None:
+    """Entries (h, id, n, g) whose list has another component, of documents with T of them, down to a fixed point."""
     before = -1
     while True:
         mixed = own.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
         own = stored(_pruned(own.join(mixed, "h", "left_semi"), need))
         size = own.count()
-        if not size:
-            return None
-        if size == before:
-            return own
+        if size in (0, before):
+            return own if size else None
         before = size
 
 
-def _divide_skip(entries: DataFrame, need) -> DataFrame:
-    """Candidate pairs of different components: enough hits in the lists that are not set apart."""
-    size = entries.groupBy("h").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "h"))
-    apart = F.floor(need / 2)
-    short = entries.join(size, "h").withColumn("r", rank).where(F.col("r") > apart).select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), (need - apart).alias("t"))
-    other = entries.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    hits = short.join(other, "h").where("ga <> gb")
-    return hits.groupBy("a", "na", "b", "nb", "t").agg(F.count("*").alias("c")).where("c >= t").select("a", "na", "b", "nb")
+def _searched(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between different components among the documents of ``rest`` (id, g).
+
+    Whole sets are listed now, with T the least overlap that the similarity asks for: a document
+    with fewer elements in lists of other components is dropped. What stays falls into cohorts that no list crosses. Cohorts are
+    cut into blocks by size of set, and each pair of blocks whose sizes allow links is searched in one task.
+    """
+    own = sets.join(rest, "id").select("id", "g", F.size("s").cast("long").alias("n"), F.explode("s").alias("h"))
+    own = _mixed(own, lambda n: _least(n, percent))
+    if own is None:
+        return None
+    lead = own.groupBy("h").agg(F.min("id").alias("b"))
+    cohort = components(own.join(lead, "h").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
+    docs = own.select("id", "g", "n").distinct().join(cohort, F.col("id") == F.col("node")).select("id", "g", "n", F.col("component").alias("cohort"))
+    docs = stored(_blocks(docs))
+    ranges = docs.groupBy("cohort", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = ranges.select("cohort", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i")), ranges.select("cohort", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    tasks = x.join(y, "cohort").where("i <= j").where((100 * F.col("hi_i") >= percent * F.col("lo_j")) & (100 * F.col("hi_j") >= percent * F.col("lo_i"))).select("cohort", "i", "j")
+    sides = tasks.select("cohort", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(tasks.where("i < j").select("cohort", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    rows = sides.join(docs, ["cohort", "block"]).join(sets, "id").select("cohort", "i", "j", "side", "id", "g", "s")
+
+    def search(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(group))
+        side = t["side"].to_numpy()
+        ids, g = t["id"].to_numpy(), t["g"].to_numpy()
+        held = [x.values.to_numpy().view(np.uint64) for x in t["s"]]
+        one = np.flatnonzero(side == 0)
+        two = np.flatnonzero(side == 1) if (side == 1).any() else one
+        links = divide_skip([held[k] for k in one], g[one], [held[k] for k in two], g[two], percent)
+        yield pa.RecordBatch.from_arrays([pa.array([int(ids[one[a]]) for a, _ in links], pa.int64()), pa.array([int(ids[two[b]]) for _, b in links], pa.int64())], ["a", "b"])
+
+    return stored(rows.groupBy("cohort", "i", "j").applyInArrow(search, "a long, b long"))
+
+
+#: Elements in the sets of one block; a task holds two.
+BLOCK = 600_000
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Number blocks of about BLOCK elements in each cohort, similar sizes together.
+
+    Sizes are ranked through a histogram for each cohort, so a large cohort is never sorted in one task.
+    """
+    counts = docs.groupBy("cohort", "n", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("part")).agg(F.sum("n").alias("c"))
+    w = Window.partitionBy("cohort").orderBy("n", "part").rowsBetween(Window.unboundedPreceding, -1)
+    place = counts.withColumn("block", F.floor(F.coalesce(F.sum("c").over(w), F.lit(0)) / BLOCK))
+    return docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1024))).join(place.drop("c"), ["cohort", "n", "part"]).drop("part")
+
+
+def divide_skip(queries: list[np.ndarray], q_group: np.ndarray, indexed: list[np.ndarray], i_group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (query, indexed) of sorted sets that are similar enough, one for each two groups that they connect.
+
+    For each query, its longest lists are set apart; the others are merged, which counts how often each document
+    occurs in them; documents with enough hits are then looked up in the long lists, shortest first, and dropped as
+    soon as what is left cannot reach the overlap that the similarity asks for.
+    """
+    sizes = np.array([len(s) for s in indexed], np.int64)
+    flat = np.concatenate(indexed)
+    owner = np.repeat(np.arange(len(indexed)), sizes)
+    order = np.argsort(flat, kind="stable")  # owners ascend within a list
+    names, start = np.unique(flat[order], return_index=True)
+    owner, stop = owner[order], np.append(start[1:], len(flat))
+    groups = {int(x): k for k, x in enumerate(np.unique(np.concatenate((q_group, i_group))))}
+    parent = list(range(len(groups)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    mine = np.array([groups[int(x)] for x in i_group])
+    roots = mine.copy()
+    out: list[tuple[int, int]] = []
+    for q, s in enumerate(queries):
+        at = np.searchsorted(names, s)
+        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == s)]
+        least = _need(len(s), percent)
+        if len(at) < least:
+            continue
+        at = at[np.argsort(stop[at] - start[at], kind="stable")]
+        apart = max(0, least - 1 - least // 10)
+        short, long = at[: len(at) - apart], at[len(at) - apart :]
+        hits = np.bincount(np.concatenate([owner[start[k] : stop[k]] for k in short]), minlength=len(indexed))
+        # overlap that each indexed set would need: percent / (100 + percent) of both sizes
+        target = -(-percent * (sizes + len(s)) // (100 + percent))
+        own = find(groups[int(q_group[q])])
+        found = np.flatnonzero((hits >= np.maximum(target - len(long), 1)) & (roots != own))
+        count = hits[found]
+        for k, name in enumerate(long):
+            if not len(found):
+                break
+            members = owner[start[name] : stop[name]]
+            place = np.minimum(np.searchsorted(members, found), len(members) - 1)
+            count = count + (members[place] == found)
+            keep = count + (len(long) - 1 - k) >= target[found]
+            if not keep.all():
+                found, count = found[keep], count[keep]
+        for c in found.tolist():
+            a, b = find(groups[int(q_group[q])]), find(int(mine[c]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((q, c))
+        if len(found):
+            roots = np.array([find(x) for x in mine.tolist()])
+    return out
