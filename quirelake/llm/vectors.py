@@ -36,12 +36,18 @@ FAN = 8
 
 def directions(reps: DataFrame, dim: int, lead: int = LEAD, fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Leading principal directions of unit vectors of one length, as rows."""
-    sample = reps.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(fit_rows).select("unit").toArrow()["unit"]
-    x = np.array(sample.to_pylist(), float).reshape(-1, dim)
+    sample = reps.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(fit_rows).select("v").toArrow()["v"]
+    x = _unit(np.array(sample.to_pylist(), float).reshape(-1, dim))
     _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     return v[: min(lead, dim)]
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, scaled by their largest component first so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", min_cosine: float = MIN_COSINE, block: int = BLOCK, lead: int = LEAD) -> DataFrame:
     """One row for each vector: key, n_links, component_id and kept."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
@@ -50,13 +56,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = rows.withColumn("ok", fine & F.coalesce(top > 0, F.lit(False)))
     own = rows.where("ok")
     reps = own.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    scaled = F.transform("v", lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    reps = stored(reps.select("rep", "n", "v", F.transform(scaled, lambda x: x / norm).alias("unit")))
-    dims = [r[0] for r in reps.select(F.size("unit")).distinct().collect()]
+    reps = stored(reps.select("rep", "n", "v"))
+    dims = [r[0] for r in reps.select(F.size("v")).distinct().collect()]
     linked = None
     for dim in dims:
-        part = _join(reps.where(F.size("unit") == dim).select("rep", "n", "unit"), dim, min_cosine, block, lead)
+        part = _join(reps.where(F.size("v") == dim).select("rep", "n", "v"), dim, min_cosine, block, lead)
         linked = part if linked is None else linked.unionByName(part)
     if linked is None:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -79,11 +83,12 @@ def _join(reps: DataFrame, dim: int, min_cosine: float, block: int, lead: int) -
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("unit").flatten().to_numpy().reshape(-1, dim)
+            x = _unit(b.column("v").flatten().to_numpy().reshape(-1, dim))
             p = x @ axes.T
             cell = np.floor(p / max(epsilon, 1e-9)).astype(np.int64)
             same = np.full(len(p), len(axes))
-            yield pa.RecordBatch.from_arrays([*b.columns, list_array(pa.array(p.ravel()), same), list_array(pa.array(cell.ravel()), same)], [*b.schema.names, "p", "cell"])
+            unit = list_array(pa.array(x.ravel()), np.full(len(x), dim))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), unit, list_array(pa.array(p.ravel()), same), list_array(pa.array(cell.ravel()), same)], ["rep", "n", "unit", "p", "cell"])
 
     laid = reps.mapInArrow(project, "rep long, n long, unit array<double>, p array<double>, cell array<long>")
     order = [*[F.col("cell")[i] for i in range(len(axes))], F.col("p")[0], F.col("rep")]
