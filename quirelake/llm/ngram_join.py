@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, list_array, mix, signed, sized, slices, stored
+from .common import Words, components, discard, list_array, mix, signed, sized, slices, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -118,14 +118,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: key, n_shingles, component_id."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    base = stored(_prefixes(rows, k, percent))
+    made = stored(_prefixes(rows, k, percent))
+    base = stored(made.drop("prefix"))
     reps = stored(base.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("rep")))
     copies = base.where("n > 0").join(reps, "whole").where("id <> rep").select("id")
-    index = base.where("n > 0 and id is not null").join(sized(copies), "id", "left_anti").select("id", "n", F.explode("prefix").alias("h"))
+    index = made.where("n > 0 and id is not null").join(sized(copies), "id", "left_anti").select("id", "n", F.explode("prefix").alias("h"))
     shared = index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = stored(index.join(shared, "h"))
+    discard(made)
     need = lambda n: F.lit(1) + F.floor(_least(n, percent) / 20)  # noqa: E731  (the partner has at least so many elements)
     entries = stored(_pruned(alive, need))
+    discard(alive)
     links = None
     if not entries.isEmpty():
         ids = stored(entries.select("id").distinct())
@@ -170,14 +173,19 @@ def _residue(entries: DataFrame, found: DataFrame, need) -> DataFrame | None:
 
 
 def _mixed(own: DataFrame, need) -> DataFrame | None:
-    """Entries (h, id, n, g) whose list has another component, of documents with T of them, down to a fixed point."""
-    before = -1
+    """Entries (h, id, n, g) whose list has another component, of documents with T of them.
+
+    Rounds end when one drops less than a tenth: what they drop cannot link, what they leave is still searched.
+    """
+    before = None
     while True:
         mixed = own.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
         own = stored(_pruned(own.join(mixed, "h", "left_semi"), need))
         size = own.count()
-        if size in (0, before):
-            return own if size else None
+        if not size:
+            return None
+        if before is not None and size > 0.9 * before:
+            return own
         before = size
 
 
