@@ -1,7 +1,7 @@
 """URL filters: hand-written rules first, then association rules mined from labelled URLs.
 
 A URL's tokens are its scheme, host labels with their suffixes, path words and query keys (numbers
-become one token). ``mine`` runs Spark's FP-growth over tokens plus the label and keeps rules "tokens -> bad" by
+become one token). ``mine`` counts sets of all tokens level by level and keeps rules "tokens -> bad" by
 support and confidence, without those that a shorter rule of no less confidence implies.
 ``judge`` looks mined rules up by an inverted index on one token of each.
 
@@ -12,9 +12,9 @@ each; equal confidences are ordered by the rule's text; other columns pass throu
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,6 @@ from .common import stored
 
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
-#: Tokens of one URL that mining looks at, which bounds the itemsets of one row; matching sees all.
-MAX_ITEMS = 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -62,14 +60,14 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (items, key, confidence, support) from rows with a boolean ``bad``; null labels are left out."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(bad).isNotNull()).select(F.slice(tokens(F.col(url)), 1, MAX_ITEMS).alias("items"), F.col(bad).alias("bad"))
-    rows = stored(rows.where(F.size("items") > 0).select(F.when(F.col("bad"), F.array_append("items", F.lit("label:bad"))).otherwise(F.col("items")).alias("items")))
+    rows = labelled.where(F.col(bad).isNotNull()).select(tokens(F.col(url)).alias("items"), F.col(bad).alias("bad"))
+    rows = stored(rows.where(F.size("items") > 0).withColumn("row", F.monotonically_increasing_id()))
     form = "items array<string>, key string, confidence double, support double"
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return spark.createDataFrame([], form)
-    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows).associationRules
-    rules = rules.where(F.col("consequent")[0] == "label:bad").select(F.sort_array("antecedent").alias("items"), "confidence", "support")
-    rules = stored(rules)
+    rules = _frequent(rows, math.ceil(min_support * n - 1e-9)).where(F.col("n_bad") / F.col("n") >= min_confidence)
+    rules = stored(rules.select("items", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")))
     one = rules.select("items", F.explode("items").alias("t"))
     parts = rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), F.col("items")[0].alias("t"))
     implied = one.join(parts, "t").where(F.size("less") < F.size("items")).where(F.forall("less", lambda x: F.array_contains("items", x)))
@@ -80,6 +78,32 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     return stored(kept.join(key, "items").select("items", "key", "confidence", "support"))
 
 
+def _frequent(rows: DataFrame, least: int) -> DataFrame:
+    """Sets of tokens (items, n, n_bad) with ``least`` bad rows, level by level, for rows (row, items, bad).
+
+    A set is extended by sets of its level alone that share all but the last token, and only while fewer rows have it than
+    any subset has (else the subset is the shorter rule) and some of its rows are not bad.
+    """
+    at = rows.select("row", "bad", F.explode("items").alias("t")).select("row", "bad", F.array("t").alias("items"))
+    level, found = 1, None
+    while True:
+        counts = at.groupBy("items").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+        counts = counts.where(F.col("n_bad") >= max(least, 1))
+        if level > 1:
+            parts = counts.select("items", "n", F.explode(F.transform(F.col("items"), lambda x: F.array_remove("items", x))).alias("part"))
+            fewer = parts.join(grow.select(F.col("items").alias("part"), F.col("n").alias("m")), "part").where("n < m")
+            counts = counts.join(fewer.groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == level).select("items"), "items")
+        counts = stored(counts)
+        found = counts if found is None else found.unionByName(counts)
+        grow = counts.where("n_bad < n")
+        if grow.isEmpty():
+            return found
+        at = stored(at.join(grow.select("items"), "items").select("row", "bad", F.slice("items", 1, level - 1).alias("head"), F.col("items")[level - 1].alias("t")))
+        other = at.select("row", "head", F.col("t").alias("u"))
+        at = at.join(other, ["row", "head"]).where("t < u").select("row", "bad", F.concat("head", F.array("t", "u")).alias("items"))
+        level += 1
+
+
 def fitting(rules: list[Rule], h: Column, p: Column) -> Column:
     """The longest rule whose host is h or a parent of it and whose path starts p, as (n, text, verdict); or null.
 

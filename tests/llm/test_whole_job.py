@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quirelake.llm import packing
+from quirelake.llm import packing, url_rules
 
 
 # -- 7 packing ----------------------------------------------------------------------
@@ -21,3 +21,14 @@ def test_plan_of_few_lengths():
     made = packing.plan(sizes, counts, 4096)
     assert sum(t for _, t in made) == 100
     assert (sum(c * t for c, t in made) == counts).all() and all((c * sizes).sum() <= 4096 for c, _ in made)
+
+
+# -- 3 URL rules --------------------------------------------------------------------
+
+
+def test_rules_from_late_tokens(spark):
+    """Only a query key after eighteen path words tells bad URLs."""
+    deep = "/".join(f"{a}{b}" for a in "abc" for b in "uvwxyz")
+    urls = [(f"http://a.com/{deep}?{'evil' if i % 2 else 'good'}=1", bool(i % 2)) for i in range(40)]
+    mined = url_rules.mine(spark.createDataFrame(urls, "url string, bad boolean"), min_confidence=0.9)
+    assert {tuple(r["items"]) for r in mined.collect()} == {("key:evil",)}
