@@ -4,12 +4,13 @@ Words are runs of ASCII letters and digits and of any other character beyond ASC
 Every k consecutive words are hashed and the smallest hash of each ``WINDOW`` of them is kept
 (winnowing), so a shared passage of K + WINDOW - 1 words always shares a fingerprint. Templates' fingerprints are an
 inverted index (bounded by the templates, so it travels with the task); seeds on nearby diagonals become one
-candidate, which is aligned within a band and reported with matched coverage and span.
+candidate, which is aligned within a band and reported with matched coverage and span. Candidates of one template that
+are too short alone (text put in or left out between them) are chained before the coverage test.
 No shuffle: each document is scanned where it is read.
 
 The band is a fifth of the template's words, at most ``BAND``, so that repeated short notices stay apart.
 
-Cases: null or empty text has no match; a text can match several templates, or one several times;
+Cases: null or empty text has no match; parts of a template below ``min_coverage`` give no row (a lower one reports them); a text can match several templates, or one several times;
 templates shorter than K + WINDOW - 1 words are refused; repeated rows are scanned each; spans count
 characters of the text as it is.
 """
@@ -114,6 +115,31 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
     return best[1], best[2], best[3]
 
 
+def chained(parts: set[tuple[int, int, int, int]], size: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """Matches (matched words, first, last) of at least ``least`` words made of partial ones (first, last, matched, diagonal).
+
+    Parts follow each other in the text and in the template, at most ``size`` words of the text apart; template words that
+    two neighbours may both have matched count once.
+    """
+    left = sorted(parts)
+    while left:
+        best: list[tuple[int, list[int]]] = []
+        for j, (first, last, n, diagonal) in enumerate(left):
+            top = (n, [j])
+            for i in range(j):
+                begin, end, _, other = left[i]
+                twice = max(0, end - other - (first - diagonal) + 1)
+                if end < first <= end + 1 + size and first - diagonal > begin - other and last - diagonal > end - other:
+                    top = max(top, (best[i][0] + n - twice, [*best[i][1], j]), key=lambda x: x[0])
+            best.append(top)
+        n, used = max(best, key=lambda x: x[0])
+        if n < least:
+            return
+        first, last = left[used[0]][0], left[used[-1]][1]
+        yield min(n, size), first, last
+        left = [p for p in left if p[1] < first or p[0] > last]
+
+
 class _Index:
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
@@ -143,15 +169,27 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
             at = winnow(hashes, inside)
             lo, hi = np.searchsorted(index.hash, hashes[at], "left"), np.searchsorted(index.hash, hashes[at], "right")
             seeds = [(int(np.searchsorted(w.first, p, "right")) - 1, int(index.which[i]), int(p), int(index.place[i])) for p, x, y in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]) for i in range(x, y)]
-            out = []
+            out, short = [], {}
+
+            def add(row: int, which: int, n: int, first: int, last: int) -> None:
+                base = w.first[row]
+                begin = w.raw[w.rows[row] :]
+                chars = [len(begin[: x - w.rows[row]].tobytes().decode("utf-8")) for x in (w.start[base + first], w.end[base + last])]
+                out.append((row, index.names[which], n / len(index.words[which]), n, first, last + 1, *chars))
+
             for row, which, group in _clusters(seeds, w.first, index, band):
                 own, template = w.hash[w.first[row] : w.first[row + 1]], index.words[which]
                 n, first, last = align(own, template, group, _band(template, band))
                 if n >= min_coverage * len(template):
-                    base = w.first[row]
-                    begin = w.raw[w.rows[row] :]
-                    chars = [len(begin[: x - w.rows[row]].tobytes().decode("utf-8")) for x in (w.start[base + first], w.end[base + last])]
-                    out.append((row, index.names[which], n / len(template), n, first, last + 1, *chars))
+                    add(row, which, n, first, last)
+                elif n:
+                    short.setdefault((row, which), set()).add((first, last, n, group))
+            for (row, which), parts in short.items():
+                size = len(index.words[which])
+                whole = [(x[4], x[5] - 1) for x in out if x[:2] == (row, index.names[which])]
+                parts = {p for p in parts if all(p[1] < x or p[0] > y for x, y in whole)}
+                for n, first, last in chained(parts, size, min_coverage * size):
+                    add(row, which, n, first, last)
             out = sorted(set(out))
             columns = list(zip(*out)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64()), *[pa.array(c, pa.int64()) for c in columns[3:]]], schema.names)

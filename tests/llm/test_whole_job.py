@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quirelake.llm import packing, url_rules
+from quirelake.llm import licenses, packing, url_rules
 
 
 # -- 7 packing ----------------------------------------------------------------------
@@ -32,3 +32,16 @@ def test_rules_from_late_tokens(spark):
     urls = [(f"http://a.com/{deep}?{'evil' if i % 2 else 'good'}=1", bool(i % 2)) for i in range(40)]
     mined = url_rules.mine(spark.createDataFrame(urls, "url string, bad boolean"), min_confidence=0.9)
     assert {tuple(r["items"]) for r in mined.collect()} == {("key:evil",)}
+
+
+# -- 5 licenses ---------------------------------------------------------------------
+
+
+def test_notice_with_words_put_in(spark):
+    words = licenses.TEMPLATES["mit"].split()
+    texts = [(i, " ".join([*words[:40], *[f"in{k}" for k in range(n)], *words[40:]])) for i, n in enumerate((0, 15, 30))]
+    texts.append((9, " ".join(words[: len(words) // 2])))
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).where("license = 'mit'").collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2] and all(r.coverage > 0.9 and r.start_word == 0 for r in got)
+    part = licenses.scan(spark.createDataFrame(texts[3:], "doc_id long, text string"), min_coverage=0.4).where("license = 'mit'").collect()
+    assert len(part) == 1 and part[0].coverage < 0.6
