@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quirelake.llm import licenses, packing, url_rules
+from quirelake.llm import licenses, media, packing, url_rules
 from quirelake.plans import relational
 
 
@@ -55,3 +55,18 @@ def test_roman_and_letters_of_every_part(spark, tmp_path):
     spark.createDataFrame([(n,) for n in (1, 3999, 4000, 20000)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     got = {r.n: (r.roman, r.letters) for r in relational.roman_and_letters(spark, str(tmp_path)).collect()}
     assert got[4000] == ("mmmm", "EWV") and got[20000] == ("m" * 20, "ACOF") and len(got) == 4
+
+
+# -- 1 media ------------------------------------------------------------------------
+
+
+def test_corners_of_captioned_and_cropped_images():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        plain = media._box(media._box(rng.normal(128, 120, (320, 320)), 1), 1)
+        captioned, crop = plain.copy(), plain[100:220, 90:210]
+        captioned[-60:] = 255 * (rng.random((20, 107)) < 0.5).repeat(3, axis=0).repeat(3, axis=1)[:, :320]
+        own = media.describe(plain)
+        assert media.agree(own, media.describe(captioned)) >= media.MIN_MATCHES
+        assert media.agree(own, media.describe(crop)) >= media.MIN_MATCHES
+        assert media.agree(own, media.describe(np.fliplr(media._box(rng.normal(128, 120, (320, 320)), 2)))) < media.MIN_MATCHES
