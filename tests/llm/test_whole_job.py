@@ -1,5 +1,6 @@
 """Work that the operators once left out."""
 
+import corpus_pipeline
 import numpy as np
 
 from quirelake.llm import licenses, media, packing, url_rules
@@ -70,3 +71,11 @@ def test_corners_of_captioned_and_cropped_images():
         assert media.agree(own, media.describe(captioned)) >= media.MIN_MATCHES
         assert media.agree(own, media.describe(crop)) >= media.MIN_MATCHES
         assert media.agree(own, media.describe(np.fliplr(media._box(rng.normal(128, 120, (320, 320)), 2)))) < media.MIN_MATCHES
+
+
+# -- pipeline -----------------------------------------------------------------------
+
+
+def test_letterless_rows_go_without_labels(spark):
+    docs = spark.createDataFrame([(1, "text", None), (2, None, None), (3, "12 34", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
