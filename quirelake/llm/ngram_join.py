@@ -7,17 +7,17 @@ prefixes a little longer than a fifth, so the inverted index holds prefixes only
 1. lists of one document are dropped, and with them every document with fewer than T entries left;
 2. each document is compared with the leaders of its lists, which joins large groups of
    copies in work linear in their size;
-3. lists that still hold several components are searched as DivideSkip does: each document sets its
-   longest lists apart, the short ones are merged by hash (Spark's sort-merge join with a count for
-   each pair, which spills, in place of one heap), and pairs with enough short hits are settled by
-   binary probes of the sorted sets.
+3. documents in lists that still hold several components are searched as DivideSkip does, in pairs of blocks: each
+   document sets its longest lists apart, the short ones are merged (by a sort that merges sorted runs, in place of a
+   heap), and documents with enough short hits are settled by binary probes of the long lists.
 
 Step 3 sees all pairs that steps 1 and 2 have not settled, so no link between components is lost;
 pairs inside a component are not looked at again. Hashes stand for shingles: at 64 bits, two different
 shingles of a corpus of N distinct ones collide with a chance of N * N / 2**65.
 
 Cases: null or empty text has an empty set and links with nothing; fewer than 5 words make one shingle of
-the whole sequence; rows of a null id return a null component; repeated rows are copies of each other.
+the whole sequence; rows of a null id link with nothing and return a null component; repeated rows are copies of each
+other; rows of one id with different texts have their own links, which all count as links of that id.
 """
 
 from __future__ import annotations
@@ -56,7 +56,10 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     out = []
     for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
         if b - a >= k:
-            out.append(np.unique(hashes[a : b - k + 1]))
+            own = hashes[a : b - k + 1]
+            own.sort()
+            own = own[np.append(True, own[1:] != own[:-1])]
+            out.append(own)
         elif b > a:
             few = np.zeros(1, np.uint64)
             for h in w.hash[a:b]:
@@ -87,11 +90,11 @@ def _prefixes(rows: DataFrame, k: int, percent: int) -> DataFrame:
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), k)
             size = np.array([len(s) for s in sets], np.int64)
-            whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            whole = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
             short = [s[: len(s) - _need(len(s), percent) + _extra(len(s))] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size), pa.array(whole, pa.binary()), _lists(short)], ["id", "n", "whole", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), pa.array(size), pa.array(whole, pa.binary()), _lists(short)], ["id", "rk", "n", "whole", "prefix"])
 
-    return rows.mapInArrow(run, "id long, n long, whole binary, prefix array<long>")
+    return rows.mapInArrow(run, "id long, rk long, n long, whole binary, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,22 +120,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: key, n_shingles, component_id."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    made = stored(_prefixes(rows, k, percent))
+    return classes(df, key, text, k, percent).select(F.col("id").alias(key), "n_shingles", "component_id")
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row for each document: id, rk (xxhash64 of its text), n_shingles, component_id and kept.
+
+    Exactly one row of each class of linked texts is kept, one of its smallest id; rows that link with nothing are kept.
+    Rows of one id share its component, but are kept or not by their own texts.
+    """
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("rk"), F.col(f"`{text}`").alias("text"))
+    made = stored(_prefixes(rows, k, percent).withColumn("row", F.monotonically_increasing_id()))
     base = stored(made.drop("prefix"))
-    reps = stored(base.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("rep")))
-    copies = base.where("n > 0").join(reps, "whole").where("id <> rep").select("id")
-    index = made.where("n > 0 and id is not null").join(sized(copies), "id", "left_anti").select("id", "n", F.explode("prefix").alias("h"))
+    # a node is the row that stands for all of its set
+    reps = base.where("n > 0 and id is not null").groupBy("whole").agg(F.min(F.struct("id", "row")).alias("r"))
+    reps = stored(reps.select("whole", F.col("r.id").alias("rep"), F.col("r.row").alias("node")))
+    copies = base.where("n > 0").join(reps, "whole").where("row <> node").select("row")
+    index = made.where("n > 0 and id is not null").join(sized(copies), "row", "left_anti").select(F.col("row").alias("id"), "n", F.explode("prefix").alias("h"))
     shared = index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = stored(index.join(shared, "h"))
     discard(made)
     need = lambda n: F.lit(1) + F.floor(_least(n, percent) / 20)  # noqa: E731  (the partner has at least so many elements)
     entries = stored(_pruned(alive, need))
     discard(alive)
-    links = None
+    found = None
     if not entries.isEmpty():
-        ids = stored(entries.select("id").distinct())
-        sets = stored(_sets(rows.join(sized(ids), "id", "left_semi"), k))
+        ids = base.join(sized(entries.select(F.col("id").alias("row")).distinct()), "row", "left_semi").select("id", "rk", "row")
+        sets = _sets(rows.join(sized(stored(ids)), ["id", "rk"]).select(F.col("row").alias("id"), "text"), k)
+        if not base.groupBy("id", "rk").count().where("count > 1").isEmpty():
+            sets = sets.dropDuplicates(["id"])  # the text of repeated rows was read several times
+        sets = stored(sets)
         # leaders: the smallest id, and the document with the largest shared part (an original among its edited copies)
         lead = entries.groupBy("h").agg(F.min(F.struct("id", "n")).alias("x"), F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "id", "n")).alias("y"))
         near = entries.join(lead, "h").select("id", "n", F.explode(F.array("x", F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n")))).alias("m"))
@@ -145,11 +162,22 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGL
             more = _searched(rest, sets, percent)
             if more is not None and not more.isEmpty():
                 found = stored(components(links.unionByName(more)))
-        reps = reps.join(found, reps["rep"] == found["node"], "left").select("whole", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        reps = reps.withColumnRenamed("rep", "component_id")
-    out = base.select("id", "n", "whole").join(reps, "whole", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    reps = reps.withColumn("class", F.col("node")) if found is None else reps.join(found, "node", "left").select("whole", "rep", "node", F.coalesce("component", "node").alias("class"))
+    reps = stored(reps)
+    first = reps.groupBy("class").agg(F.min(F.struct("rep", "node")).alias("f")).select("class", F.col("f.rep").alias("low"), F.col("f.node").alias("node"))
+    # ids whose rows fall into several classes
+    named = base.where("n > 0 and id is not null").select("id", "whole").distinct()
+    named = stored(named.join(named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "id").join(reps.select("whole", "class"), "whole").select("id", "class").distinct())
+    if not named.isEmpty():
+        ties = named.join(named.groupBy("id").agg(F.min("class").alias("b")), "id").select(F.col("class").alias("a"), "b")
+        tops = components(ties).select(F.col("node").alias("class"), F.col("component").alias("top"))
+        first = first.join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
+        first = first.join(first.groupBy("top").agg(F.min("low").alias("least")), "top").select("class", F.col("least").alias("low"), "node")
+    reps = reps.select("whole", "class").join(first, "class").select("whole", F.col("low").alias("rep"), "node")
+    out = base.join(reps, "whole", "left")
+    lone = F.col("id").isNull() | (F.col("n") == 0)
+    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("rep"))
+    return out.select("id", "rk", F.col("n").alias("n_shingles"), component.alias("component_id"), (lone | (F.col("row") == F.col("node"))).alias("kept"))
 
 
 def _pruned(entries: DataFrame, need) -> DataFrame:
@@ -272,21 +300,23 @@ def divide_skip(queries: list[np.ndarray], q_group: np.ndarray, indexed: list[np
         at = at[np.argsort(stop[at] - start[at], kind="stable")]
         apart = max(0, least - 1 - least // 10)
         short, long = at[: len(at) - apart], at[len(at) - apart :]
-        hits = np.bincount(np.concatenate([owner[start[k] : stop[k]] for k in short]), minlength=len(indexed))
+        merged = np.sort(np.concatenate([owner[start[k] : stop[k]] for k in short]), kind="stable")  # merges the sorted lists
+        at = np.flatnonzero(np.diff(merged, prepend=-1))
+        found, count = merged[at], np.diff(at, append=len(merged))
         # overlap that each indexed set would need: percent / (100 + percent) of both sizes
-        target = -(-percent * (sizes + len(s)) // (100 + percent))
+        target = -(-percent * (sizes[found] + len(s)) // (100 + percent))
         own = find(groups[int(q_group[q])])
-        found = np.flatnonzero((hits >= np.maximum(target - len(long), 1)) & (roots != own))
-        count = hits[found]
+        keep = (count >= target - len(long)) & (roots[found] != own)
+        found, count, target = found[keep], count[keep], target[keep]
         for k, name in enumerate(long):
             if not len(found):
                 break
             members = owner[start[name] : stop[name]]
             place = np.minimum(np.searchsorted(members, found), len(members) - 1)
             count = count + (members[place] == found)
-            keep = count + (len(long) - 1 - k) >= target[found]
+            keep = count + (len(long) - 1 - k) >= target
             if not keep.all():
-                found, count = found[keep], count[keep]
+                found, count, target = found[keep], count[keep], target[keep]
         for c in found.tolist():
             a, b = find(groups[int(q_group[q])]), find(int(mine[c]))
             if a != b:
