@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step looks at; longer single texts are one step.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that one vectorised step looks at; a longer single text is one slice, worked off in blocks.
+SLICE_BYTES = 1 << 20
+#: Bytes, and words or windows, that one block of a slice holds: what a block needs beside the slice has a fixed size.
+BLOCK_BYTES = 128 << 10
+BLOCK_WORDS = 64 << 10
 
 
 # -- tables in the shared folder --------------------------------------------
@@ -68,7 +72,10 @@ def spread(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``limit`` bytes; a longer single row stays whole."""
+    """Cut batches so that ``column`` holds about ``limit`` bytes; a longer single row stays whole.
+
+    Workers are reused by later stages, so memory that Arrow holds back is returned at the end of each partition.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,29 +106,26 @@ _ODD = 0x9E3779B97F4A7C15
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 _RADIX = 0xD6E8FEB86659FD93
 _INVERSE = pow(_RADIX, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. n-1 modulo 2**64, grown as needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+def _powers(base: int) -> np.ndarray:
+    """base ** 0 .. 2 * BLOCK_BYTES modulo 2**64."""
+    out = np.full(2 * BLOCK_BYTES + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
+_UP, _DOWN = _powers(_RADIX), _powers(_INVERSE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -131,55 +136,83 @@ class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every row of a string column.
 
     start, end: byte range of each word in ``raw``; first: index of the first word of each
-    row (one more entry at the end); hash: 64-bit content hash of each word.
+    row (one more entry at the end); hash: 64-bit content hash of each word. Beside these, which take
+    16 bytes a word, and two flags a byte, memory is that of one block, however long a text is.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False):
         self.raw, self.rows = text_bytes(column)
-        seen = _LOWER[self.raw] if lower else self.raw
-        edge = np.ones(len(seen) + 2, bool)
-        edge[1:-1] = _SPACE[seen]
-        starts = edge[:-2] & ~edge[1:-1]
+        white = _SPACE[self.raw]
+        edge = np.ones(len(white) + 1, bool)  # a word may begin here, and one that ran so far ends
+        edge[1:-1] = white[:-1]
         inner = self.rows[1:-1]
-        inner = inner[inner < len(seen)]
-        starts[inner] |= ~edge[1:-1][inner]
-        ends = ~edge[1:-1] & edge[2:]
-        last = inner[inner > 0] - 1
-        ends[last] |= ~edge[1:-1][last]
-        self.start = np.flatnonzero(starts)
-        self.end = np.flatnonzero(ends) + 1
+        edge[inner] = True
+        kind = np.int32 if len(white) < 1 << 31 else np.int64
+        self.start = np.flatnonzero(edge[:-1] & ~white).astype(kind)
+        edge[:-1] = white
+        edge[inner] = True
+        self.end = (np.flatnonzero(edge[1:] & ~white) + 1).astype(kind)
         self.first = np.searchsorted(self.start, self.rows)
-        total = np.zeros(len(seen) + 1, np.uint64)
-        np.cumsum(_BYTE[seen] * powers(_RADIX, len(seen)), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * powers(_INVERSE, len(seen) + 1)[self.start] if len(seen) else total[:0])
+        self.hash = self._hashed(_LOWER if lower else None)
+
+    def _hashed(self, table: np.ndarray | None) -> np.ndarray:
+        """Polynomials over the bytes of each word, by prefix sums within blocks."""
+        out = np.zeros(len(self.start), np.uint64)
+        seen = lambda a, b: _BYTE[self.raw[a:b] if table is None else table[self.raw[a:b]]]
+        long = self.end - self.start > BLOCK_BYTES
+        place = self.start // BLOCK_BYTES
+        cuts = np.flatnonzero((place[1:] != place[:-1]) | long[1:] | long[:-1]) + 1
+        bounds = [0, *cuts.tolist(), len(out)]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            lo, hi = int(self.start[a]), int(self.end[b - 1])
+            if long[a]:
+                total, mask = 0, (1 << 64) - 1
+                for at in range(lo, hi, BLOCK_BYTES):
+                    part = seen(at, min(hi, at + BLOCK_BYTES))
+                    total += int((part * _UP[: len(part)]).sum()) * pow(_RADIX, at - lo, 1 << 64)
+                out[a] = total & mask
+                continue
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(seen(lo, hi) * _UP[: hi - lo], out=total[1:])
+            begin = self.start[a:b] - lo
+            out[a:b] = (total[self.end[a:b] - lo] - total[begin]) * _DOWN[begin]
+        for at in range(0, len(out), BLOCK_WORDS):
+            out[at : at + BLOCK_WORDS] = mix(out[at : at + BLOCK_WORDS])
+        return out
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def parts(self, window: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Blocks of windows [a, b) by their first word, and the row bounds of the words a .. b + window - 1 that they cover."""
+        n = len(self.hash)
+        for a in range(0, n, BLOCK_WORDS):
+            b, to = min(n, a + BLOCK_WORDS), min(n, a + BLOCK_WORDS + window - 1)
+            yield a, b, np.clip(self.first, a, to) - a
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each k-word window, by the index of its first word, and whether it stays in its row."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        out = np.zeros(n, np.uint64)
-        for j in range(k):
-            out += self.hash[j : j + n] * np.uint64(pow(_ODD, j + 1, 1 << 64))
+        out = np.empty(n, np.uint64)
+        for at in range(0, n, BLOCK_WORDS):
+            m = min(BLOCK_WORDS, n - at)
+            total = np.zeros(m, np.uint64)
+            for j in range(k):
+                total += self.hash[at + j : at + j + m] * np.uint64(pow(_ODD, j + 1, 1 << 64))
+            out[at : at + m] = mix(total)
         inside = np.ones(n, bool)
         for b in self.first[1:-1]:
             inside[max(0, b - k + 1) : b] = False
-        return mix(out), inside
+        return out, inside
 
-    def whole(self) -> np.ndarray:
-        """Hash of each row's whole word sequence, 128 bits as 16 bytes."""
-        n = len(self.hash)
-        out = np.zeros((len(self.first) - 1, 2), np.uint64)
-        for side, base in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25)):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix(self.hash + np.uint64(side)) * powers(base, n), out=total[1:])
-            back = powers(pow(base, -1, 1 << 64), n + 1)
-            out[:, side] = mix((total[self.first[1:]] - total[self.first[:-1]]) * back[self.first[:-1]] + self.counts.astype(np.uint64))
-        return out
+    def whole(self) -> list[bytes]:
+        """Hash of each row's whole word sequence, 128 bits."""
+        return [hashlib.blake2b(self.hash[a:b], digest_size=16).digest() for a, b in zip(self.first.tolist(), self.first[1:].tolist())]
 
 
 def signed(x: np.ndarray) -> pa.Array:

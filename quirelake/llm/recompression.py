@@ -91,7 +91,5 @@ def open_windows(symbols: Symbols, good: np.ndarray, window: int, n: int) -> np.
     lo = symbols.seen_to[bad] - window  # first window start that holds it
     hi = symbols.seen_from[bad]  # last one
     fits = (lo <= hi) & (hi >= 0)
-    count = np.zeros(n + 2, np.int64)
-    np.add.at(count, np.clip(lo[fits], 0, n), 1)
-    np.add.at(count, np.clip(hi[fits] + 1, 0, n + 1), -1)
+    count = np.bincount(np.clip(lo[fits], 0, n), minlength=n + 2) - np.bincount(np.clip(hi[fits] + 1, 0, n + 1), minlength=n + 2)
     return np.cumsum(count)[:n] == 0

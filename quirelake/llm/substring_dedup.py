@@ -26,63 +26,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, list_array, mix, ragged, signed, sized, slices, stored
+from .common import Words, list_array, mix, signed, sized, slices, stored
 from .recompression import Symbols, open_windows
 
 WINDOW = 13
 ROUNDS = 2
 MIN_WORDS = 2
-_SLICE = 2 << 20
 
 
-def _symbols(w: Words, rounds: int, window: int) -> tuple[Symbols, np.ndarray]:
-    """Symbols, and which of them are told to Spark: of MIN_WORDS words or more that a window can contain."""
-    s = Symbols(w.hash, w.first, rounds)
-    return s, (s.end - s.start >= MIN_WORDS) & (s.seen_to - s.seen_from <= window)
+def _symbols(w: Words, rounds: int, window: int) -> Iterator[tuple[int, int, Symbols, np.ndarray]]:
+    """Blocks of windows [a, b) with the symbols of the words they cover, and which of these are told to Spark:
+    those of MIN_WORDS words or more that a window can contain.
 
+    What a window contains depends on its words alone, so blocks that overlap by a window give all of it.
+    """
+    for a, b, first in w.parts(window):
+        s = Symbols(w.hash[a : b + window - 1], first, rounds)
+        yield a, b, s, (s.end - s.start >= MIN_WORDS) & (s.seen_to - s.seen_from <= window)
 
-def _member(row: np.ndarray, name: np.ndarray, lists: pa.ListArray) -> np.ndarray:
-    """Whether each (row, name) is in that row's list."""
-    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    salt = mix(np.arange(len(lists), dtype=np.uint64) + np.uint64(1))
-    known = np.sort(values ^ salt[np.repeat(np.arange(len(lists)), size)])
-    asked = name ^ salt[row]
-    if not len(known):
-        return np.zeros(len(asked), bool)
-    return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+
+class _Lists:
+    """The lists of a column, to ask whether names are in the list of a row."""
+
+    def __init__(self, lists: pa.ListArray):
+        values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        self.salt = mix(np.arange(len(lists), dtype=np.uint64) + np.uint64(1))
+        self.known = np.sort(values ^ np.repeat(self.salt, size))
+
+    def has(self, row: np.ndarray, name: np.ndarray) -> np.ndarray:
+        asked = name ^ self.salt[row]
+        if not len(self.known):
+            return np.zeros(len(asked), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, asked), len(self.known) - 1)] == asked
 
 
 def _kept(w: Words, gone: np.ndarray) -> pa.StringArray:
     """Words that are not gone, joined by one space, for each row."""
     take = np.flatnonzero(~gone)
-    size = (w.end - w.start)[take]
-    row = np.repeat(np.arange(len(w.first) - 1), w.counts)[take]
-    step = size + 1
-    out = np.full(int(step.sum()), 32, np.uint8)
-    begin = np.cumsum(step) - step
-    out[ragged(begin, size)] = w.raw[ragged(w.start[take], size)]
+    row = np.searchsorted(w.first, take, "right") - 1
     last = np.ones(len(take), bool)
     last[:-1] = row[1:] != row[:-1]
-    keep = np.ones(len(out), bool)
-    keep[(begin + size)[last]] = False
-    per = np.bincount(row, step - last, minlength=len(w.first) - 1).astype(np.int64)
+    start, stop = w.start[take], w.end[take] + ~last
+    raw = w.raw.copy()
+    raw[w.end[take[~last]]] = 32
+    change = np.zeros(len(raw) + 1, np.int8)
+    change[start] += 1
+    np.subtract.at(change, stop, 1)
+    per = np.bincount(row, stop - start, minlength=len(w.first) - 1).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
-    return pa.StringArray.from_buffers(len(per), pa.py_buffer(offsets), pa.py_buffer(out[keep]))
+    return pa.StringArray.from_buffers(len(per), pa.py_buffer(offsets), pa.py_buffer(raw[np.cumsum(change[:-1], dtype=np.int8).view(bool)]))
 
 
 def _marks(rows: DataFrame, window: int, rounds: int) -> DataFrame | None:
     """What to remove: id, rk, everything (boolean), at (first words of windows); for rows (id, rk, text)."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_SLICE):
+        for b in slices(batches):
             w = Words(b.column("text"))
-            s, told = _symbols(w, rounds, window)
-            per = np.searchsorted(s.row[told], np.arange(len(w.first)))
-            names = s.name[told]
-            lists = [np.unique(names[a:z]) for a, z in zip(per.tolist(), per[1:].tolist())]
-            lists = list_array(signed(np.concatenate(lists)), np.array([len(x) for x in lists]))
-            whole = [x.tobytes() for x in w.whole()]
+            rows_, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for _, _, s, told in _symbols(w, rounds, window):
+                rows_.append(s.row[told])
+                names.append(s.name[told])
+            row, name = np.concatenate(rows_), np.concatenate(names)
+            by = np.lexsort((name, row))
+            row, name = row[by], name[by]
+            new = np.ones(len(name), bool)
+            new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+            lists = list_array(signed(name[new]), np.bincount(row[new], minlength=b.num_rows))
+            whole = w.whole()
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), pa.array(w.counts), pa.array(whole, pa.binary()), lists], ["id", "rk", "n", "whole", "names"])
 
     base = rows.where("id is not null and text is not null").mapInArrow(tell, "id long, rk long, n long, whole binary, names array<long>").where(F.col("n") >= window)
@@ -95,15 +107,18 @@ def _marks(rows: DataFrame, window: int, rounds: int) -> DataFrame | None:
     hits = stored(hits)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_SLICE):
+        for b in slices(batches):
             w = Words(b.column("text"))
-            s, told = _symbols(w, rounds, window)
             hashes, inside = w.windows(window)
             role = np.zeros(len(hashes), np.int64)
-            for bit, column in ((1, "q"), (2, "s")):
-                good = ~told
-                good[told] = _member(s.row[told], s.name[told], b.column(column))
-                role += bit * (open_windows(s, good, window, len(w.hash))[: len(hashes)] & inside)
+            shared = [(bit, _Lists(b.column(column))) for bit, column in ((1, "q"), (2, "s"))]
+            for lo, hi, s, told in _symbols(w, rounds, window):
+                hi = min(hi, len(hashes))
+                for bit, lists in shared:
+                    good = ~told
+                    good[told] = lists.has(s.row[told], s.name[told])
+                    if lo < hi:
+                        role[lo:hi] += bit * (open_windows(s, good, window, hi - lo) & inside[lo:hi])
             at = np.flatnonzero(role)
             row = np.searchsorted(w.first, at, "right") - 1
             code = (at - w.first[row]) * 4 + role[at]
@@ -130,9 +145,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     schema = T.StructType([rows.schema["other"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_SLICE):
+        for b in slices(batches):
             w = Words(b.column("text"))
-            change = np.zeros(len(w.hash) + window + 1, np.int64)
+            change = np.zeros(len(w.hash) + window + 1, np.int32)
             if "at" in b.schema.names:
                 lists = b.column("at")
                 size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -142,9 +157,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
                 for r in np.flatnonzero(b.column("everything").to_numpy(zero_copy_only=False)):
                     change[w.first[r]] += 1
                     change[w.first[r + 1]] -= 1
-            gone = np.cumsum(change)[: len(w.hash)] > 0
-            total = np.concatenate(([0], np.cumsum(gone)))
-            yield pa.RecordBatch.from_arrays([b.column("other"), pa.array(w.counts), pa.array(np.diff(total[w.first])), _kept(w, gone)], schema.names)
+            gone = np.cumsum(change, out=change)[: len(w.hash)] > 0
+            lost = np.bincount(np.searchsorted(w.first, np.flatnonzero(gone), "right") - 1, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("other"), pa.array(w.counts), pa.array(lost), _kept(w, gone)], schema.names)
 
     plain = rows.join(ids, ["id", "rk"], "left_anti").select("other", "text").mapInArrow(remove, schema)
     changed = rows.join(ids, ["id", "rk"], "left_semi").join(marks, ["id", "rk"]).select("other", "text", "everything", "at").mapInArrow(remove, schema)

@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, list_array, mix, signed, sized, slices, stored
 from .licenses import winnow
-from .substring_dedup import _member
+from .substring_dedup import _Lists
 
 MIN_WORDS = 50
 GRAM = 8
-_SLICE = 2 << 20
 
 
 def anchors(w: Words, half: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +79,11 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("rk"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_SLICE):
+        for b in slices(batches):
             w = Words(b.column("text"))
             at, ahead = anchors(w, half)
             per = np.diff(np.searchsorted(at, w.first))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), pa.array(w.counts), pa.array([x.tobytes() for x in w.whole()], pa.binary()), list_array(signed(ahead), per)], ["id", "rk", "n", "whole", "g"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), pa.array(w.counts), pa.array(w.whole(), pa.binary()), list_array(signed(ahead), per)], ["id", "rk", "n", "whole", "g"])
 
     base = stored(rows.mapInArrow(tell, "id long, rk long, n long, whole binary, g array<long>").where(F.col("n") >= min_words))
     same = base.groupBy("whole").agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("c")).where("c > 1")
@@ -96,11 +95,11 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     hits = stored(each.join(often, "g").groupBy("id", "rk").agg(F.collect_set("g").alias("gs")))
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_SLICE):
+        for b in slices(batches):
             w = Words(b.column("text"))
             at, ahead = anchors(w, half)
             row = np.searchsorted(w.first, at, "right") - 1
-            keep = _member(row, ahead, b.column("gs"))
+            keep = _Lists(b.column("gs")).has(row, ahead)
             at, ahead, row = at[keep], ahead[keep], row[keep]
             left, right = _around(w, at, half)
             take = pa.array(row)
