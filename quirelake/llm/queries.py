@@ -26,9 +26,11 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images, so each vector of ``embeddings`` is rendered as one."""
+    """The tables hold no images, so each vector of ``embeddings`` is rendered as one, and each eighth once more as an edited copy."""
     images = media.render(table(spark, sf_dir, "embeddings"))
-    return media.near_copies(images).withColumnRenamed("image_id", "vec_id")
+    found = media.near_copies(images)
+    vec_id, copy = F.floor(F.col("image_id") / 2), F.pmod("image_id", F.lit(2)) == 1
+    return found.select(vec_id.alias("vec_id"), copy.alias("edited"), "image_id", "n_corners", "component_id", "kept")
 
 
 def op2_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
