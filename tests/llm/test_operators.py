@@ -281,19 +281,20 @@ def test_byte_bpe_columns(texts):
 # -- 7 packing ----------------------------------------------------------------------
 
 
-@given(st.lists(st.text("aBéßΣ'sµ漢 \n\t\x85\xa0ﬁ1½-_!\u0301İ", max_size=50), min_size=1, max_size=5))
-@settings(max_examples=80, deadline=None)
+_PIECES = st.lists(st.text("aBéßΣ'sµ漢 \n\t\x85\xa0ﬁ1½-_!\u0301İ<|>", max_size=50) | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext", "<|EndOfText|>"]), max_size=4).map("".join)
+
+
+@given(st.lists(_PIECES, min_size=1, max_size=5))
+@settings(max_examples=120, deadline=None)
 def test_word_bpe(texts):
     if not hasattr(test_word_bpe, "tok"):
         test_word_bpe.tok = Tokenizer.from_file(WORDS)
-        test_word_bpe.tok.encode_special_tokens = True
     got = packing.word_bpe(WORDS)(pa.array(texts, pa.string())).to_pylist()
     assert got == [test_word_bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing(spark, docs):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     parts = packing.text_pieces(docs, WORDS, capacity=64)
     other = packing.pieces(packing.tokenize(docs.select("doc_id", "text"), WORDS), capacity=64).drop("ids")
     assert sorted(parts.collect()) == sorted(other.collect())
