@@ -1,9 +1,11 @@
 """URL filters: hand-written rules first, then association rules mined from labelled URLs.
 
 A URL's tokens are its scheme, host labels with their suffixes, path words and query keys (numbers
-become one token). ``mine`` counts sets of all tokens level by level and keeps rules "tokens -> bad" by
-support and confidence, without those that a shorter rule of no less confidence implies.
-``judge`` looks mined rules up by an inverted index on one token of each.
+become one token). ``mine`` has Spark's FP-growth find frequent sets of tokens and keeps rules "tokens -> bad" by
+support and confidence, without those that a shorter rule of no less confidence implies. No URL is cut: tokens
+that too few bad URLs have are in no rule, and of tokens that occur in the same labelled URLs one stands for all, which bounds
+the sets without losing a rule.
+``judge`` looks mined rules up by an inverted index on the rarest token of each.
 
 Cases: null URLs or URLs without ``://`` have an empty host and path, fit no rule and are
 judged by the method on no tokens; no labelled row means no mined rule; repeated rows are judged
@@ -15,10 +17,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
@@ -57,51 +60,49 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, found).otherwise(F.array().cast("array<string>"))
 
 
+_BAD = "label:bad"
+
+
 def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (items, key, confidence, support) from rows with a boolean ``bad``; null labels are left out."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(bad).isNotNull()).select(tokens(F.col(url)).alias("items"), F.col(bad).alias("bad"))
-    rows = stored(rows.where(F.size("items") > 0).withColumn("row", F.monotonically_increasing_id()))
-    form = "items array<string>, key string, confidence double, support double"
+    rows = labelled.select(tokens(F.col(f"`{url}`")).alias("items"), F.col(f"`{bad}`").alias("bad")).where("bad is not null and size(items) > 0")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
-    if not n:
-        return spark.createDataFrame([], form)
-    rules = _frequent(rows, math.ceil(min_support * n - 1e-9)).where(F.col("n_bad") / F.col("n") >= min_confidence)
-    rules = stored(rules.select("items", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")))
+    sets = _frequent(rows, max(1, math.ceil(min_support * n - 1e-9)))
+    if sets is None:
+        return spark.createDataFrame([], "items array<string>, key string, confidence double, support double")
+    with_bad = sets.where(F.array_contains("items", _BAD)).select(F.array_sort(F.array_remove("items", _BAD)).alias("items"), F.col("freq").alias("n_bad"))
+    rules = with_bad.join(sets.select(F.array_sort("items").alias("items"), "freq"), "items").where(F.col("n_bad") / F.col("freq") >= min_confidence)
+    rules = _indexed(rules.select("items", (F.col("n_bad") / F.col("freq")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")))
+    # a shorter rule of the same tokens is found by its key
+    one = rules.select("items", "confidence", F.explode("items").alias("key"))
+    parts = rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), "key")
+    implied = one.join(parts, "key").where((F.size("less") < F.size("items")) & (F.col("sure") >= F.col("confidence")))
+    implied = implied.where(F.size(F.array_except("less", "items")) == 0).select("items").distinct()
+    return _indexed(rules.drop("key").join(implied, "items", "left_anti")).select("items", "key", "confidence", "support")
+
+
+def _frequent(rows: DataFrame, least: int) -> DataFrame | None:
+    """Sets of tokens and ``_BAD`` (items, freq) of at least ``least`` rows, for rows (row, items, bad); None if there can't be any."""
+    each = rows.select("row", "bad", F.explode("items").alias("t"))
+    same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+    per = each.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), *same).where(F.col("n_bad") >= least)
+    stands = stored(per.groupBy("n", "same1", "same2").agg(F.min("t").alias("t")).select("t"))
+    baskets = each.join(sized(stands), "t").groupBy("row", "bad").agg(F.collect_list("t").alias("items"))
+    baskets = stored(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items")))
+    m = baskets.count()
+    if not m:
+        return None
+    return stored(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=1.0).fit(baskets).freqItemsets)
+
+
+def _indexed(rules: DataFrame) -> DataFrame:
+    """Rules with their key: the one of their tokens that the fewest rules have."""
+    rules = stored(rules)
     one = rules.select("items", F.explode("items").alias("t"))
-    parts = rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), F.col("items")[0].alias("t"))
-    implied = one.join(parts, "t").where(F.size("less") < F.size("items")).where(F.forall("less", lambda x: F.array_contains("items", x)))
-    implied = implied.join(rules.select("items", "confidence"), "items").where("sure >= confidence").select("items")
-    kept = rules.join(implied, "items", "left_anti")
-    often = kept.select(F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    key = kept.select("items", F.explode("items").alias("t")).join(often, "t").groupBy("items").agg(F.min_by("t", F.struct("n", "t")).alias("key"))
-    return stored(kept.join(key, "items").select("items", "key", "confidence", "support"))
-
-
-def _frequent(rows: DataFrame, least: int) -> DataFrame:
-    """Sets of tokens (items, n, n_bad) with ``least`` bad rows, level by level, for rows (row, items, bad).
-
-    A set is extended by sets of its level alone that share all but the last token, and only while fewer rows have it than
-    any subset has (else the subset is the shorter rule) and some of its rows are not bad.
-    """
-    at = rows.select("row", "bad", F.explode("items").alias("t")).select("row", "bad", F.array("t").alias("items"))
-    level, found = 1, None
-    while True:
-        counts = at.groupBy("items").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
-        counts = counts.where(F.col("n_bad") >= max(least, 1))
-        if level > 1:
-            parts = counts.select("items", "n", F.explode(F.transform(F.col("items"), lambda x: F.array_remove("items", x))).alias("part"))
-            fewer = parts.join(grow.select(F.col("items").alias("part"), F.col("n").alias("m")), "part").where("n < m")
-            counts = counts.join(fewer.groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == level).select("items"), "items")
-        counts = stored(counts)
-        found = counts if found is None else found.unionByName(counts)
-        grow = counts.where("n_bad < n")
-        if grow.isEmpty():
-            return found
-        at = stored(at.join(grow.select("items"), "items").select("row", "bad", F.slice("items", 1, level - 1).alias("head"), F.col("items")[level - 1].alias("t")))
-        other = at.select("row", "head", F.col("t").alias("u"))
-        at = at.join(other, ["row", "head"]).where("t < u").select("row", "bad", F.concat("head", F.array("t", "u")).alias("items"))
-        level += 1
+    key = one.join(one.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("items").agg(F.min_by("t", F.struct("n", "t")).alias("key"))
+    return stored(rules.join(key, "items"))
 
 
 def fitting(rules: list[Rule], h: Column, p: Column) -> Column:
