@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer single text is one slice, worked off in blocks.
@@ -23,14 +25,16 @@ BLOCK_WORDS = 64 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a default is set only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset, a folder of this machine in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
         else:
-            base = "/tmp/checkpoints"
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="checkpoints-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quirelake-{uuid.uuid4().hex}"
 
@@ -63,6 +67,16 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def over_key(df: DataFrame, key: str, keep: str, **aggregates: Column) -> DataFrame:
+    """Rows of ``df`` whose key has ``aggregates`` over all its rows that satisfy ``keep``, with the aggregates as columns.
+
+    The aggregates are summed up map-side and stored before they are joined back. Both sides of that join are then plain shuffles, which
+    Spark splits where a key is frequent, so no task has to take all rows of one.
+    """
+    per = stored(df.groupBy(key).agg(*[a.alias(c) for c, a in aggregates.items()]).where(keep))
+    return df.join(per, key)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for a stage whose cost is Python work rather than bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 2)

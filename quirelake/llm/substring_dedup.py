@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, list_array, mix, signed, sized, slices, stored
+from .common import Words, discard, list_array, mix, over_key, signed, sized, slices, stored
 from .recompression import Symbols, open_windows
 
 WINDOW = 13
@@ -97,14 +97,19 @@ def _marks(rows: DataFrame, window: int, rounds: int) -> DataFrame | None:
             whole = w.whole()
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), pa.array(w.counts), pa.array(whole, pa.binary()), lists], ["id", "rk", "n", "whole", "names"])
 
-    base = rows.where("id is not null and text is not null").mapInArrow(tell, "id long, rk long, n long, whole binary, names array<long>").where(F.col("n") >= window)
-    base = stored(base)
+    base = rows.where("id is not null and text is not null").mapInArrow(tell, "id long, rk long, n long, whole binary, names array<long>")
+    base = stored(base.where(F.col("n") >= window).withColumn("row", F.monotonically_increasing_id()))
     first = base.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("whole", "rep")
-    copies = stored(base.select("id", "rk", "whole").join(first, "whole").where("id > rep").select("id", "rk").distinct())
-    names = base.select("id", "rk", "names").join(sized(copies), ["id", "rk"], "left_anti").select("id", "rk", F.explode("names").alias("name"))
-    shared = names.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    hits = names.join(shared, "name").groupBy("id", "rk").agg(F.collect_list(F.when(F.col("lo") < F.col("id"), F.col("name"))).alias("q"), F.collect_list(F.when(F.col("hi") > F.col("id"), F.col("name"))).alias("s"))
-    hits = stored(hits)
+    copies = stored(base.select("id", "rk", "row", "whole").join(first, "whole").where("id > rep").select("id", "rk", "row"))
+    again = base.groupBy("id", "rk").agg(F.min("row").alias("one"), F.count("*").alias("c")).where("c > 1").select("id", "rk", "one")
+    again = base.select("id", "rk", "row").join(again, ["id", "rk"]).where("row <> one").select("row")
+    out = sized(stored(copies.select("row").unionByName(again).distinct()))
+    names = base.join(out, "row", "left_anti").select("id", "row", F.explode("names").alias("name"))
+    shared = over_key(names, "name", "lo < hi", lo=F.min("id"), hi=F.max("id"))
+    hits = shared.groupBy("row").agg(F.collect_list(F.when(F.col("lo") < F.col("id"), F.col("name"))).alias("q"), F.collect_list(F.when(F.col("hi") > F.col("id"), F.col("name"))).alias("s"))
+    hits = stored(hits.join(base.select("id", "rk", "row"), "row").drop("row"))
+    copies = stored(copies.select("id", "rk").distinct())
+    discard(base)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -128,12 +133,17 @@ def _marks(rows: DataFrame, window: int, rounds: int) -> DataFrame | None:
     # a document without a shared symbol still has candidates where a window holds no symbol at all (long runs)
     texts = rows.where("id is not null and text is not null").join(sized(copies), ["id", "rk"], "left_anti")
     found = texts.join(hits, ["id", "rk"], "left").mapInArrow(candidates, "id long, rk long, code array<int>, win array<long>").where("size(code) > 0")
-    found = stored(found)
-    each = found.select("id", "rk", F.explode(F.arrays_zip("code", "win")).alias("x")).select("id", "rk", F.col("x.code").alias("code"), F.col("x.win").alias("win"))
-    earliest = each.where("code & 2 > 0").groupBy("win").agg(F.min("id").alias("lo"))
-    gone = each.where("code & 1 > 0").join(earliest, "win").where("lo < id").groupBy("id", "rk").agg(F.collect_list(F.shiftright("code", 2)).alias("at"))
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()))
+    discard(hits)
+    each = found.select("id", "row", F.explode(F.arrays_zip("code", "win")).alias("x")).select("id", "row", F.col("x.code").alias("code"), F.col("x.win").alias("win"))
+    of = lambda bit: F.when(F.col("code").bitwiseAND(bit) > 0, F.col("id"))
+    seen = over_key(each, "win", "lo < hi", lo=F.min(of(2)), hi=F.max(of(1)))
+    gone = seen.where("code & 1 > 0 and lo < id").groupBy("row").agg(F.collect_list(F.shiftright("code", 2)).alias("at"))
+    gone = gone.join(found.select("id", "rk", "row"), "row").dropDuplicates(["id", "rk"])
     marks = gone.select("id", "rk", F.lit(False).alias("everything"), "at").unionByName(copies.select("id", "rk", F.lit(True).alias("everything"), F.array().cast("array<int>").alias("at")))
-    return stored(marks)
+    marks = stored(marks)
+    discard(found)
+    return marks
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:

@@ -106,3 +106,15 @@ def test_language_of_long_texts(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "c" * 300_000, "d"])], ["text"])
     seen = [(int(r), len(x)) for rows, texts in language_id._pieces(batch, 0) for r, x in zip(rows, texts.to_pylist())]
     assert sorted(np.unique([r for r, _ in seen])) == [0, 1, 2, 3] and sum(n for r, n in seen if r == 2) == 300_000
+
+
+def test_rows_with_aggregates_of_their_key(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, i % 7 if i % 3 else 99, i * 31 % 50) for i in range(900)] + [(901, None, 1), (902, 1000, 2)]
+    want = {}
+    for _, k, v in rows:
+        low, n = want.get(k, (v, 0))
+        want[k] = (min(low, v), n + 1)
+    out = common.over_key(spark.createDataFrame(rows, "id long, k long, v long"), "k", "n > 1", low=F.min("v"), n=F.count("*")).collect()
+    assert len(out) == 900 and all((r.low, r.n) == want[r.k] for r in out)
