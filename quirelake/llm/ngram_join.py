@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, discard, list_array, mix, signed, sized, slices, stored
+from .common import Words, components, discard, list_array, mix, over_key, signed, sized, slices, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -137,8 +137,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHI
     reps = stored(reps.select("whole", F.col("r.id").alias("rep"), F.col("r.row").alias("node")))
     copies = base.where("n > 0").join(reps, "whole").where("row <> node").select("row")
     index = made.where("n > 0 and id is not null").join(sized(copies), "row", "left_anti").select(F.col("row").alias("id"), "n", F.explode("prefix").alias("h"))
-    shared = index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    alive = stored(index.join(shared, "h"))
+    alive = stored(over_key(index, "h", "c > 1", c=F.count("*")).drop("c"))
     discard(made)
     need = lambda n: F.lit(1) + F.floor(_least(n, percent) / 20)  # noqa: E731  (the partner has at least so many elements)
     entries = stored(_pruned(alive, need))
@@ -151,8 +150,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHI
             sets = sets.dropDuplicates(["id"])  # the text of repeated rows was read several times
         sets = stored(sets)
         # leaders: the smallest id, and the document with the largest shared part (an original among its edited copies)
-        lead = entries.groupBy("h").agg(F.min(F.struct("id", "n")).alias("x"), F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "id", "n")).alias("y"))
-        near = entries.join(lead, "h").select("id", "n", F.explode(F.array("x", F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n")))).alias("m"))
+        near = over_key(entries, "h", "true", x=F.min(F.struct("id", "n")), y=F.max(F.struct((F.col("c") / F.col("n")).alias("part"), "id", "n"))).select("id", "n", F.explode(F.array("x", F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n")))).alias("m"))
         near = near.groupBy("id", "n", "m").agg(F.count("*").alias("c")).where(F.col("c") >= need(F.col("n")))
         pairs = _fitting(near.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("m.id").alias("b"), F.col("m.n").alias("nb")), percent)
         links = stored(_verified(stored(pairs), sets, percent))
@@ -162,6 +160,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHI
             more = _searched(rest, sets, percent)
             if more is not None and not more.isEmpty():
                 found = stored(components(links.unionByName(more)))
+        discard(sets)
+    discard(entries)
     reps = reps.withColumn("class", F.col("node")) if found is None else reps.join(found, "node", "left").select("whole", "rep", "node", F.coalesce("component", "node").alias("class"))
     reps = stored(reps)
     first = reps.groupBy("class").agg(F.min(F.struct("rep", "node")).alias("f")).select("class", F.col("f.rep").alias("low"), F.col("f.node").alias("node"))
@@ -208,7 +208,9 @@ def _mixed(own: DataFrame, need) -> DataFrame | None:
     before = None
     while True:
         mixed = own.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
-        own = stored(_pruned(own.join(mixed, "h", "left_semi"), need))
+        whole, own = own, stored(_pruned(own.join(mixed, "h", "left_semi"), need))
+        if before is not None:
+            discard(whole)
         size = own.count()
         if not size:
             return None
