@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, ragged, slices, spread, text_bytes
+from .common import list_array, ragged, slices, spread, stored, text_bytes
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -187,7 +187,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     short = base.where(~long).mapInArrow(whole, schema)
 
     step = chunk - overlap
-    big = base.where(long).withColumn("row", F.monotonically_increasing_id())
+    big = stored(base.where(long).withColumn("row", F.monotonically_increasing_id()))  # rows keep their numbers if a task runs again
     cuts = F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(step))
     cuts = F.filter(cuts, lambda s: (s == 0) | (s + overlap < F.char_length("text")))
     parts = big.select("row", "text", F.posexplode(cuts).alias("k", "s"), F.char_length("text").alias("n"))
