@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set as checkpoint folder; where it is unset, a local one in local mode and an error on a cluster."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
+    if not current.isDefined():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def newest_wins(log: DataFrame, key: list[str], order: Column, removed: Column) -> DataFrame:
     """The newest row of each key, unless that one says removed. A map-side maximum, no window."""
     rest = [c for c in log.columns if c not in key]
@@ -27,8 +43,7 @@ def resolve(df: DataFrame, objects: DataFrame, num: str, value: str = "value") -
 
 def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     """Objects that (file_id, num) roots reach over (file_id, src, dst) edges, with the fewest steps."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    shared_folder(spark)
     frontier = seen = roots.select("file_id", "num").distinct().withColumn("steps", F.lit(0))
     for k in range(1, depth + 1):
         step = frontier.join(edges, (edges["file_id"] == frontier["file_id"]) & (edges["src"] == frontier["num"])).select(frontier["file_id"], F.col("dst").alias("num")).distinct()
@@ -48,12 +63,20 @@ def inherit_sql(tree: str, attribute: str) -> str:
     )
 
 
-def inherit(tree: DataFrame, attribute: str, depth: int = 3) -> DataFrame:
-    """The same by joins, for trees of known depth: each step is one equality join by parent."""
-    out = tree.select("node", F.col("parent").alias("_up"), F.col(attribute).alias("value"))
-    above = tree.select(F.col("node").alias("_up"), F.col("parent").alias("_next"), F.col(attribute).alias("_v"))
-    for _ in range(depth):
-        out = out.join(above, "_up", "left").select("node", F.col("_next").alias("_up"), F.coalesce("value", "_v").alias("value"))
+def inherit(tree: DataFrame, attribute: str) -> DataFrame:
+    """The same by joins, for trees of any depth: each round looks twice as far up, until no node is open.
+
+    A node whose whole way up has none gets null; so do those whose way up runs in a circle.
+    """
+    spark = tree.sparkSession
+    shared_folder(spark)
+    out = tree.select("node", F.when(F.col(attribute).isNull(), F.col("parent")).alias("up"), F.col(attribute).alias("value")).checkpoint()
+    rounds = max(1, out.count()).bit_length()
+    for _ in range(rounds):
+        if out.where("up is not null").isEmpty():
+            break
+        above = out.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("value").alias("found"))
+        out = out.join(above, "up", "left").select("node", F.when(F.col("found").isNull(), F.col("next")).alias("up"), F.coalesce("value", "found").alias("value")).checkpoint()
     return out.select("node", "value")
 
 

@@ -1,7 +1,7 @@
 """Text search over pages, with a rectangle for each line that a match touches.
 
-Everything is column expressions: a page's runs are gathered once (one shuffle by file and page), pages
-without the needle are dropped before offsets are computed, and rectangles are folded from glyph
+Everything is column expressions: pages without the needle are found from the texts of runs alone; the runs of the others are
+then gathered with their glyphs (one shuffle by file and page), and rectangles are folded from glyph
 boxes in the same row. Offsets count code points of the page's text, which is its runs without separators.
 """
 
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.pdf import PdfCorpus
+from . import graph
 
 LIMIT = 2000
+#: Pages with the needle that are sent to their runs; more of them meet by a shuffle.
+FEW_PAGES = 200_000
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -24,6 +27,10 @@ def runs_in(corpus: PdfCorpus, space: str = "screen", scale: float = 1.0) -> Dat
         return runs
     if space != "screen":
         raise ValueError("space is page or screen")
+    return _placed(corpus, runs, scale)
+
+
+def _placed(corpus: PdfCorpus, runs: DataFrame, scale: float) -> DataFrame:
     shown = corpus.pages.select("file_id", "page_index", g.display(F.col("crop_box"), F.col("rotate"), scale)["matrix"].alias("m"))
     m = F.col("m")
     at = g.apply(m, F.col("x"), F.col("y"))
@@ -92,14 +99,20 @@ def search(corpus: PdfCorpus, query: str, case_sensitive: bool = False, whole_wo
 
     ``limit`` holds for each file, or for all of them; truncated says that it was reached.
     """
+    if space not in ("page", "screen"):
+        raise ValueError("space is page or screen")
+    needle = query if case_sensitive else query.lower()
     parts = F.struct("run_seq", "text", "height", "glyphs")
-    runs = runs_in(corpus, space, scale)
+    graph.shared_folder(corpus.contents.sparkSession)
+    texts = corpus.page_text
+    pages = texts.where(F.contains(F.col("text") if case_sensitive else F.lower("text"), F.lit(needle))).select("file_id", "page_index").checkpoint()
+    few = pages.limit(FEW_PAGES + 1).count() <= FEW_PAGES
+    runs = corpus.text_runs.join(F.broadcast(pages) if few else pages, ["file_id", "page_index"], "left_semi")
+    runs = runs if space == "page" else _placed(corpus, runs, scale)
     paged = runs.groupBy("file_id", "page_index").agg(F.array_sort(F.collect_list(parts), lambda a, b: a["run_seq"] - b["run_seq"]).alias("runs"))
     paged = paged.withColumn("text", F.array_join(F.transform("runs", lambda r: r["text"]), ""))
     step = lambda acc, r: F.struct((acc["at"] + F.char_length(r["text"])).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    needle = query if case_sensitive else query.lower()
-    paged = paged.where(F.contains(F.col("text") if case_sensitive else F.lower("text"), F.lit(needle)))
     paged = paged.withColumn("offsets", F.aggregate("runs", begin, step, lambda acc: acc["out"]))
     found = find(paged, query, case_sensitive, whole_word, keep=["runs", "offsets"])
     spans = F.filter(F.arrays_zip("runs", "offsets"), lambda z: (z["offsets"] + F.char_length(z["runs"]["text"]) > F.col("start")) & (z["offsets"] < F.col("end")))

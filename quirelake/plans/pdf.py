@@ -169,7 +169,7 @@ def pdf_fonts(spark, sf_dir):
 
 
 def pdf_font_codes(spark, sf_dir):
-    found = built(spark, sf_dir).font_codes.where("code between 160 and 255").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "text"))), lambda c: c["text"]), "").alias("texts"), F.round(F.sum("width"), 6).alias("widths"))
+    found = built(spark, sf_dir).font_codes.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "text"))), lambda c: c["text"]), "").alias("texts"), F.round(F.sum("width"), 6).alias("widths"))
     return _doc(found, "texts", "widths")
 
 
@@ -244,7 +244,8 @@ def _after(order: str, where: str = "true", text: str = "line") -> str:
 
 
 _ROMAN_SQL = "repeat('m', n // 1000) || (['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'])[n % 1000 // 100 + 1] || (['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'])[n % 100 // 10 + 1] || (['','i','ii','iii','iv','v','vi','vii','viii','ix'])[n % 10 + 1]"
-_LETTERS_SQL = "CASE WHEN n <= 0 THEN '' WHEN n <= 26 THEN chr((64 + n)::INTEGER) WHEN n <= 702 THEN chr((64 + (n - 1) // 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER) ELSE chr((64 + (n - 27) // 676)::INTEGER) || chr((65 + (n - 27) // 26 % 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER) END"
+#: Letters of n by place from the right: with k letters, n is at least 1 + 26 + ... + 26 ** (k - 1).
+_LETTERS_SQL = "CASE WHEN n <= 0 THEN '' ELSE " + " || ".join(f"CASE WHEN n >= {(26 ** (k + 1) - 1) // 25} THEN chr((65 + (n - {(26 ** (k + 1) - 1) // 25}) // {26 ** k} % 26)::INTEGER) ELSE '' END" for k in range(6, -1, -1)) + " END"
 
 _SAME = {k: _DIGEST_SQL for k in ("pdf_objstm", "pdf_repair_offsets", "pdf_repair_cut", "pdf_three_revisions", "pdf_nested", "pdf_save_full")}
 _FILTERS = ("plain", "flate", "hex", "a85", "rl", "lzw", "png", "chain")
@@ -276,7 +277,7 @@ ORACLES = {
     "pdf_edges": f"SELECT DISTINCT doc_id, n AS kids, 4::BIGINT AS first FROM ({_LINES_SQL})",
     "pdf_glyphs": f"SELECT doc_id, 72.0::DOUBLE AS x, 720.0::DOUBLE - 12 * k AS y, 6.0::DOUBLE * length(line) AS width, 10.0::DOUBLE AS height, length(line)::BIGINT AS glyphs, true AS ok FROM ({_LINES_SQL}) WHERE length(line) > 0",
     "pdf_fonts": "SELECT doc_id, 'F1' AS font_name, 'Courier' AS base_font, 32::BIGINT AS first_char, 224::BIGINT AS codes FROM documents",
-    "pdf_font_codes": "SELECT doc_id, (SELECT string_agg(chr(c::INTEGER), '' ORDER BY c) FROM range(160, 256) r(c)) AS texts, 57.6::DOUBLE AS widths FROM documents",
+    "pdf_font_codes": "SELECT doc_id, (SELECT string_agg(chr(c::INTEGER), '' ORDER BY c) FROM range(32, 256) r(c) WHERE c <> 127) AS texts, round(224 * 0.6, 6)::DOUBLE AS widths FROM documents",
     "pdf_content_ops": f"""WITH d AS (SELECT DISTINCT doc_id, n FROM ({_LINES_SQL})) SELECT doc_id, op, (CASE op WHEN 'Tj' THEN n WHEN 'T*' THEN n - 1 ELSE 1 END)::BIGINT AS n FROM d, (VALUES ('BT'), ('Tf'), ('TL'), ('Tm'), ('Tj'), ('T*'), ('ET')) v(op) WHERE op <> 'T*' OR n > 1""",
     "pdf_edit_remove": _after("k", "k NOT IN (0, 2)"),
     "pdf_edit_move": _after("CASE WHEN k = 0 THEN least(2, n - 1) + 0.5 ELSE k END"),

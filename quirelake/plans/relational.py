@@ -165,8 +165,7 @@ def stream_ingest(spark, sf_dir):
     from ..operators.edit import PdfSink
 
     spark.dataSource.register(PdfSink)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    top = f"{base.rstrip('/')}/quirelake-stream-{uuid.uuid4().hex}"
+    top = f"{graph.shared_folder(spark)}/quirelake-stream-{uuid.uuid4().hex}"
     files = built(spark, sf_dir).contents.select(F.concat("file_id", F.lit(".pdf")).alias("name"), "content")
     files.write.format("pdf_files").mode("append").save(f"{top}/in")
     ingest.ingest(spark, f"{top}/in", f"{top}/out", ["text_runs"], f"{top}/checkpoint").awaitTermination()
@@ -194,7 +193,7 @@ ORACLES = {
     "display_matrix": """WITH l AS (SELECT l_orderkey, l_partkey, l_quantity - 10 AS x, l_linenumber * 10 - 20 AS y, (floor(l_linenumber * 45 / 90.0 + 0.5) * 90)::BIGINT % 360 AS turn FROM lineitem)
         SELECT l_orderkey, l_partkey, turn, CASE WHEN turn % 180 = 90 THEN 600.0 ELSE 400.0 END::DOUBLE AS width, round(2.0::DOUBLE * CASE turn WHEN 0 THEN x WHEN 90 THEN y WHEN 180 THEN 200 - x ELSE 300 - y END, 6) AS x, round(2.0::DOUBLE * CASE turn WHEN 0 THEN 300 - y WHEN 90 THEN x WHEN 180 THEN y ELSE 200 - x END, 6) AS y FROM l""",
     "format_number": "SELECT l_orderkey, l_partkey, regexp_replace(regexp_replace(printf('%.6f', l_discount), '0+$', ''), '\\.$', '') AS discount, (l_quantity - 25)::BIGINT::VARCHAR AS quantity, printf('%.0f', l_quantity * 1e12) AS large FROM lineitem",
-    "roman_and_letters": f"SELECT n, {_ROMAN_SQL} AS roman, {_LETTERS_SQL} AS letters FROM (SELECT p_partkey AS n FROM part WHERE p_partkey < 4000)",
+    "roman_and_letters": f"SELECT n, {_ROMAN_SQL} AS roman, {_LETTERS_SQL} AS letters FROM (SELECT p_partkey AS n FROM part)",
     "text_functions": "SELECT page_id, '&lt;a href=&quot;' || replace(url, '&', '&amp;') || '&quot;&gt;&amp;' AS html, url AS base, '<' || hex(url) || '>' AS hex, url AS unhexed, url AS utf16 FROM pages",
     "filter_functions": "SELECT doc_id, md5(text) AS flate, md5(text) AS run_length FROM documents",
     "html_text_search": f"""WITH s AS (SELECT page_id, regexp_replace(html, '{_TAGS.replace("(?is)", "")}', ' ', 'gis') AS t FROM pages), p AS (SELECT page_id, unnest(string_split(t, 'the')) AS piece, unnest(range(len(string_split(t, 'the')))) AS i, len(string_split(t, 'the')) AS c FROM s),

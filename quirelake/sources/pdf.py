@@ -171,54 +171,71 @@ _ROWS_OF: dict[str, Callable[[PdfFile], Iterator[tuple]]] = {
 }
 
 
-def _table(kind: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for b in batches:
-            for file_id, content in zip(b.column("file_id").to_pylist(), b.column("content")):
-                data = content.as_py()
-                if not data:
-                    continue
-                for row in _ROWS_OF[kind](PdfFile(data)):
-                    held.append((file_id, *row))
-                    size += len(row[3]) if kind == "streams" else 0
-                    if len(held) >= _ROWS or size > 32 << 20:
-                        yield _batch(held, schema)
-                        held, size = [], 0
-        if held:
-            yield _batch(held, schema)
+_VARIANTS = {"objects": "value", "content_ops": "operands"}
 
-    return run
 
+class _Rows:
+    """Rows of one table, handed over in batches of a bounded size."""
+
+    def __init__(self, kind: str, schema: pa.Schema):
+        self.kind, self.schema = kind, schema
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, file_id: str, pdf: PdfFile) -> Iterator[pa.RecordBatch]:
+        for row in _ROWS_OF[self.kind](pdf):
+            self.held.append((file_id, *row))
+            self.size += len(row[3]) if self.kind == "streams" else 0
+            if len(self.held) >= _ROWS or self.size > 32 << 20:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield _batch(self.held, self.schema)
+        self.held, self.size = [], 0
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+class _Runs(_Rows):
+    """Text runs, counted by their glyphs."""
 
-def _text_runs(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        glyphs = 0
+    def add(self, file_id: str, pdf: PdfFile) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for i, page in _with_text(pdf):
+            for seq, r in enumerate(runs(operations(pdf.contents(page)), PageFonts(pdf, page, cache))):
+                self.held.append((file_id, i, seq, r))
+                self.size += len(r.xs)
+                if self.size > 200_000 or len(self.held) >= 4 * _ROWS:
+                    yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield _run_batch(self.held, self.schema)
+        self.held, self.size = [], 0
+
+
+def _parsed(kinds: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, pa.RecordBatch]]]:
+    """Batches of the tables ``kinds``, each file being parsed once."""
+    schemas = {k: to_arrow_schema(T.StructType.fromDDL(SCHEMAS[k])) for k in kinds}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        tables = {k: (_Runs if k == "text_runs" else _Rows)(k, x) for k, x in schemas.items()}
         for b in batches:
             for file_id, content in zip(b.column("file_id").to_pylist(), b.column("content")):
                 data = content.as_py()
-                if not data:
-                    continue
-                pdf, cache = PdfFile(data), {}
-                for i, page in _with_text(pdf):
-                    for seq, r in enumerate(runs(operations(pdf.contents(page)), PageFonts(pdf, page, cache))):
-                        held.append((file_id, i, seq, r))
-                        glyphs += len(r.xs)
-                        if glyphs > 200_000 or len(held) >= 4 * _ROWS:
-                            yield _run_batch(held, schema)
-                            held, glyphs = [], 0
-        if held:
-            yield _run_batch(held, schema)
+                if data:
+                    pdf = PdfFile(data)
+                    for k, t in tables.items():
+                        yield from ((k, out) for out in t.add(file_id, pdf))
+        for k, t in tables.items():
+            yield from ((k, out) for out in t.rest())
 
     return run
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _run_batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     rs = [h[3] for h in held]
     column = lambda get, kind: pa.array([get(r) for r in rs], kind)
@@ -245,10 +262,9 @@ class PdfCorpus:
 
     def table(self, kind: str) -> DataFrame:
         if kind not in self._tables:
-            schema = to_arrow_schema(T.StructType.fromDDL(SCHEMAS[kind]))
-            run = _text_runs(schema) if kind == "text_runs" else _table(kind, schema)
-            out = self.contents.select("file_id", "content").mapInArrow(run, SCHEMAS[kind])
-            variant = {"objects": "value", "content_ops": "operands"}.get(kind)
+            parsed = _parsed([kind])
+            out = self.contents.select("file_id", "content").mapInArrow(lambda batches: (b for _, b in parsed(batches)), SCHEMAS[kind])
+            variant = _VARIANTS.get(kind)
             self._tables[kind] = out.withColumn(variant, F.parse_json(variant)) if variant else out
         return self._tables[kind]
 
@@ -290,13 +306,48 @@ class PdfCorpus:
         return save(self, incremental, compress)
 
     def save_tables(self, path: str, kinds: list[str] | None = None) -> PdfCorpus:
-        """Write tables as Parquet below ``path`` and read them from there."""
+        """Write tables as Parquet below ``path`` and read them from there; all but those with VARIANT columns in one parse of each file."""
         spark, tables = self.contents.sparkSession, {}
-        for kind in kinds or list(SCHEMAS):
-            self.table(kind).write.mode("overwrite").parquet(f"{path}/{kind}")
-            tables[kind] = spark.read.parquet(f"{path}/{kind}")
+        kinds = kinds or list(SCHEMAS)
+        together = [k for k in kinds if k not in _VARIANTS and k not in self._tables]
+        if len(together) > 1:
+            self._save_together(f"{path}/parsed", together)
+            tables = {k: spark.read.schema(f"`{k}` struct<{_struct(k)}>").parquet(f"{path}/parsed/kind={k}").select(f"{k}.*") for k in together}
+        for kind in kinds:
+            if kind not in tables:
+                self.table(kind).write.mode("overwrite").parquet(f"{path}/{kind}")
+                tables[kind] = spark.read.parquet(f"{path}/{kind}")
         return PdfCorpus(self.contents, tables)
 
+    def _save_together(self, path: str, kinds: list[str]) -> None:
+        """One folder of Parquet files for each table, its rows as a struct of that name."""
+        spark, parsed = self.contents.sparkSession, _parsed(kinds)
+        schema = T.StructType([T.StructField("kind", T.StringType()), *[T.StructField(k, T.StructType.fromDDL(SCHEMAS[k])) for k in kinds]])
+        arrow = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for kind, b in parsed(batches):
+                columns = [pa.array([kind] * b.num_rows), *[b.to_struct_array().cast(f.type) if f.name == kind else pa.nulls(b.num_rows, f.type) for f in list(arrow)[1:]]]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        writers = "spark.sql.maxConcurrentOutputFileWriters"  # one open file for each table, in place of a sort
+        before = spark.conf.get(writers, "0")
+        spark.conf.set(writers, str(len(kinds) + 1))
+        try:
+            self.contents.select("file_id", "content").mapInArrow(run, schema).write.mode("overwrite").partitionBy("kind").parquet(path)
+        finally:
+            spark.conf.set(writers, before)
+        # a table without a row has no folder yet
+        for k in kinds:
+            empty = spark.createDataFrame([], schema).where(F.lit(False)).select(k)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={k}")
+            if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+                empty.write.parquet(f"{path}/kind={k}")
+
+
+def _struct(kind: str) -> str:
+    return T.StructType.fromDDL(SCHEMAS[kind]).simpleString().removeprefix("struct<").removesuffix(">")
+
 
 def read_pdf(spark: SparkSession, path: str, pattern: str = "*.pdf", min_bytes: int = 8) -> PdfCorpus:
     """All PDF files below ``path``; what is shorter than ``min_bytes`` is left out."""
