@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, licenses, media, ngram_join, packing, substring_dedup, suffix_dedup, url_rules, vectors
 from .common import stored
+from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
