@@ -30,6 +30,40 @@ def page_content(lines: list[str]) -> bytes:
     return b"\n".join([*body, b"ET"])
 
 
+def operator_content(lines: list[str]) -> bytes:
+    """Lines shown with other text operators in turn, each from its own origin; between them an inline image that looks like text."""
+    body = [b"BT", b"/F1 %d Tf" % SIZE, b"ET", b"q BI /W 4 /H 1 /BPC 8 /CS /G ID (EI) EI Q", b"BT"]
+    for k, line in enumerate(lines):
+        t = literal(line)
+        shown = [
+            t + b" Tj",
+            b"1.5 Tc " + t + b" Tj 0 Tc",
+            b"2 Tw " + t + b" Tj 0 Tw",
+            b"50 Tz " + t + b" Tj 100 Tz",
+            b"3 Ts 10 -5 Td [-500 " + t + b" 200] TJ 0 Ts",
+            b"12 TL " + t + b" '",
+            b"12 TL 1 2 " + t + b' " 0 Tw 0 Tc',
+            b"3 Tr 5 -6 TD " + t + b" Tj 0 Tr",
+        ]
+        body += [b"1 0 0 1 %d %d Tm" % (LEFT, TOP - LEADING * k), shown[k % len(shown)]]
+    return b"\n".join([*body, b"ET"])
+
+
+def composite_content(lines: list[str]) -> bytes:
+    """Lines in two-byte codes, as hexadecimal strings."""
+    body = [b"BT", b"/F1 %d Tf" % SIZE, b"%d TL" % LEADING, b"1 0 0 1 %d %d Tm" % (LEFT, TOP)]
+    body += [b"<" + line.encode("utf-16-be").hex().encode() + b"> Tj T*" for line in lines]
+    return b"\n".join([*body, b"ET"])
+
+
+#: A ToUnicode map with single codes, a range that counts up and a range with a list.
+TO_UNICODE = b"""/CIDInit /ProcSet findresource begin 12 dict begin begincmap
+1 begincodespacerange <0000> <FFFF> endcodespacerange
+2 beginbfchar <0020> <0020> <0021> <0021> endbfchar
+2 beginbfrange <0022> <00FD> <0022> <00FE> <00FF> [<00FE> <00FF>] endbfrange
+endcmap end end"""
+
+
 def ascii85(data: bytes) -> bytes:
     out = bytearray()
     for i in range(0, len(data), 4):
@@ -128,7 +162,7 @@ FONT = b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /FirstChar 32 /LastCh
 )
 
 
-def objects(pages: list[list[str]], how: str = "plain", labels: bytes = b"", titles: list[str] | None = None, rotate: int = 0, nested: bool = False) -> dict[int, bytes]:
+def objects(pages: list[list[str]], how: str = "plain", labels: bytes = b"", titles: list[str] | None = None, rotate: int = 0, nested: bool = False, content=page_content, composite: bool = False, tree: bool = False, info: str | None = None) -> dict[int, bytes]:
     """Object bodies by number: 1 catalog, 2 page tree, 3 font, then two for each page, then bookmarks and inner nodes."""
     out: dict[int, bytes] = {3: FONT}
     n = len(pages)
@@ -145,16 +179,30 @@ def objects(pages: list[list[str]], how: str = "plain", labels: bytes = b"", tit
     turn = b" /Rotate %d" % rotate if rotate else b""
     out[2] = b"<< /Type /Pages /Count %d /Kids [%s] /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >>%s >>" % (n, b" ".join(b"%d 0 R" % k for k in kids), turn)
     for i, lines in enumerate(pages):
-        entries, data = packed(page_content(lines), how)
+        entries, data = packed(content(lines), how)
         out[page_num[i]] = b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (parents[i], page_num[i] + 1)
         out[page_num[i] + 1] = b"<< %s/Length %d >>\nstream\n" % (entries, len(data)) + data + b"\nendstream"
     outline = b""
     if titles:
         outline = b" /Outlines %d 0 R" % extra
         out[extra] = b"<< /Type /Outlines /First %d 0 R /Last %d 0 R /Count %d >>" % (extra + 1, extra + len(titles), len(titles))
+        if tree:  # the first bookmark holds the second, which holds the third
+            out[extra] = b"<< /Type /Outlines /First %d 0 R /Last %d 0 R /Count 1 >>" % (extra + 1, extra + 1)
         for i, title in enumerate(titles):
+            if tree:
+                more = b" /First %d 0 R /Last %d 0 R /Count 1" % (extra + 2 + i, extra + 2 + i) if i + 1 < len(titles) else b""
+                out[extra + 1 + i] = b"<< /Title %s /Parent %d 0 R /A << /S /GoTo /D [%d 0 R /Fit] >>%s >>" % (literal(title), extra + i, page_num[min(i, n - 1)], more)
+                continue
             after = b" /Next %d 0 R" % (extra + 2 + i) if i + 1 < len(titles) else b""
             out[extra + 1 + i] = b"<< /Title %s /Parent %d 0 R /Dest [%d 0 R /Fit]%s >>" % (literal(title), extra, page_num[min(i, n - 1)], after)
+    if composite:
+        last = max(*out, extra)
+        entries, data = packed(TO_UNICODE, "flate")
+        out[3] = b"<< /Type /Font /Subtype /Type0 /BaseFont /Wide /Encoding /Identity-H /DescendantFonts [%d 0 R] /ToUnicode %d 0 R >>" % (last + 1, last + 2)
+        out[last + 1] = b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Wide /DW 500 /W [32 [600 600] 34 255 600] >>"
+        out[last + 2] = b"<< %s/Length %d >>\nstream\n" % (entries, len(data)) + data + b"\nendstream"
+    if info is not None:
+        out[max(out) + 1] = b"<< /Title %s /Producer (builder) >>" % literal(info)
     out[1] = b"<< /Type /Catalog /Pages 2 0 R%s%s >>" % (outline, b" /PageLabels << /Nums [%s] >>" % labels if labels else b"")
     return out
 
@@ -169,10 +217,11 @@ def classic(found: dict[int, bytes], shift: int = 0, cut: bool = False) -> bytes
     if cut:
         return bytes(out)
     start, size = len(out), max(found) + 1
+    named = b" /Info %d 0 R" % (size - 1) if b"/Producer (builder)" in found[size - 1] else b""
     out += b"xref\n0 %d\n0000000000 65535 f \n" % size
     for num in range(1, size):
         out += b"%010d 00000 n \n" % (at[num] + shift) if num in at else b"0000000000 00001 f \n"
-    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (size, start))
+    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R%s >>\nstartxref\n%d\n%%%%EOF\n" % (size, named, start))
 
 
 def append(base: bytes, changes: dict[int, bytes], size: int) -> bytes:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pdf, relational
+from . import pdf, relational, text
 
 
 def queries() -> dict:
-    return {**pdf.QUERIES, **relational.QUERIES}
+    return {**pdf.QUERIES, **relational.QUERIES, **text.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**pdf.ORACLES, **relational.ORACLES}
+    return {**pdf.ORACLES, **relational.ORACLES, **text.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
