@@ -7,6 +7,7 @@ from typing import Any
 
 from .content import Operation, operations
 from .document import MAX_DEPTH, PdfFile, box, quarter_turn
+from .scan import Scanner
 from .values import Name, Ref, Stream, number
 from .writer import Writer, format_operations
 
@@ -182,6 +183,13 @@ class Editor:
         return self.writer.save(incremental, compress)
 
 
+def _value(value: float | None, syntax: str | None) -> Any:
+    """A number, or the object that PDF syntax (a name, string, array, dictionary or reference) stands for."""
+    if syntax is not None:
+        return Scanner(syntax.encode("latin-1")).value()
+    return int(value) if number(value) is not None and float(value).is_integer() else value
+
+
 def apply_edits(data: bytes, steps: list[dict[str, Any]], incremental: bool = True, compress: bool = False) -> bytes:
     """Steps in order, each with ``op`` and its arguments; unknown ones are errors."""
     pdf = PdfFile(data)
@@ -206,8 +214,9 @@ def apply_edits(data: bytes, steps: list[dict[str, Any]], incremental: bool = Tr
         elif op == "set_content":
             e.set_content(arg("page", -1), bytes(arg("content", b"")))
         elif op == "set_inherited":
-            value = arg("value")
-            e.set_inherited(arg("page", -1), arg("key"), int(value) if number(value) is not None and float(value).is_integer() else value)
+            e.set_inherited(arg("page", -1), arg("key"), _value(arg("value"), arg("syntax")))
+        elif op == "set_trailer":
+            e.writer.overrides[arg("key")] = _value(arg("value"), arg("syntax"))
         else:
             raise ValueError(f"unknown edit {op}")
     return e.save(incremental, compress)

@@ -180,10 +180,8 @@ def pdf_content_ops(spark, sf_dir):
 
 def _edited(spark, sf_dir, steps: list[dict], incremental: bool = True, form: str = "nested") -> PdfCorpus:
     corpus = built(spark, sf_dir, form=form, one_page_a_line=True)
-    kinds = ", ".join(f"{k} {t}" for k, t in edits.EDIT_COLUMNS.items())
-    rows = [(i, s["op"], *[s.get(k) for k in edits.EDIT_COLUMNS]) for i, s in enumerate(steps)]
-    listed = spark.createDataFrame(rows, f"seq int, op string, {kinds}")
-    todo = corpus.contents.select("file_id").crossJoin(F.broadcast(listed)) if len(steps) > 1 else corpus.contents.select("file_id", F.lit(0).alias("seq"), F.lit(steps[0]["op"]).alias("op"), *[_literal(v).alias(k) for k, v in steps[0].items() if k != "op"])
+    listed = [F.struct(F.lit(i).alias("seq"), F.lit(s["op"]).alias("op"), *[_literal(s.get(k)).cast(kind).alias(k) for k, kind in edits.EDIT_COLUMNS.items()]) for i, s in enumerate(steps)]
+    todo = corpus.contents.select("file_id", F.explode(F.array(*listed)).alias("s")).select("file_id", "s.*")
     return PdfCorpus(edits.edit(corpus, todo, incremental).select("file_id", "content"))
 
 

@@ -14,7 +14,7 @@ from ..operators import pages as pg
 from ..operators import search as se
 from ..operators.edit import PdfSink
 from ..sources.pdf import read_pdf
-from .pdf import _DIGEST_SQL, _LINES_SQL, NEEDLE, TITLES, _digest, _doc, _match_rows, _matches_sql, built, table
+from .pdf import _DIGEST_SQL, _LINES_SQL, NEEDLE, TITLES, _digest, _doc, _edited, _match_rows, _matches_sql, built, table
 
 
 def pdf_text_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,17 @@ def pdf_scale_and_buttons(spark, sf_dir):
     return _doc(both, F.round("scale", 6).alias("scale"), "can_edit", "can_delete")
 
 
+def pdf_edit_inherited(spark, sf_dir):
+    """A box set as an array, over what the page inherits; other pages keep theirs."""
+    found = _edited(spark, sf_dir, [{"op": "set_inherited", "page": 0, "key": "MediaBox", "syntax": "[0 0 300 200]"}]).pages
+    return _doc(found, F.col("page_index").cast("long").alias("page"), F.col("media_box.x1").alias("width"), F.col("media_box.y1").alias("height"))
+
+
+def pdf_edit_trailer(spark, sf_dir):
+    found = _edited(spark, sf_dir, [{"op": "set_trailer", "key": "Info", "syntax": "<< /Title (New) /Count 3 >>"}], incremental=False).info
+    return _doc(found, "key", "value")
+
+
 def pdf_search_app(spark, sf_dir):
     """What is typed is trimmed; a single character finds nothing."""
     corpus = built(spark, sf_dir)
@@ -101,6 +112,8 @@ ORACLES = {
     "pdf_outline_tree": f"SELECT doc_id, path, depth::BIGINT AS depth, title, least(depth, n - 1)::BIGINT AS page FROM (SELECT DISTINCT doc_id, n FROM ({_LINES_SQL})), (VALUES ('0', 0, 'First'), ('0.0', 1, 'Zweite Überschrift'), ('0.0.0', 2, 'Third (3)')) v(path, depth, title)",
     "pdf_info": "SELECT doc_id, key, value FROM documents, (VALUES ('Title', 'Títle (1)'), ('Producer', 'builder')) v(key, value)",
     "pdf_scale_and_buttons": f"SELECT DISTINCT doc_id, 0.5::DOUBLE AS scale, true AS can_edit, n > 1 AS can_delete FROM ({_LINES_SQL})",
+    "pdf_edit_inherited": f"SELECT doc_id, k::BIGINT AS page, CASE WHEN k = 0 THEN 300 ELSE 612 END::DOUBLE AS width, CASE WHEN k = 0 THEN 200 ELSE 792 END::DOUBLE AS height FROM ({_LINES_SQL})",
+    "pdf_edit_trailer": "SELECT doc_id, key, value FROM documents, (VALUES ('Title', 'New'), ('Count', '3')) v(key, value)",
     "pdf_search_app": _matches_sql(NEEDLE, True),
     "pdf_read_directory": _DIGEST_SQL,
     "matrix_parts": """SELECT l_orderkey, l_partkey, round(cos(radians(l_linenumber * 30)), 6) + 0.0::DOUBLE AS a, round(sin(radians(l_linenumber * 30)), 6) + 0.0::DOUBLE AS b, round(-sin(radians(l_linenumber * 30)), 6) + 0.0::DOUBLE AS c, round(cos(radians(l_linenumber * 30)), 6) + 0.0::DOUBLE AS d,
