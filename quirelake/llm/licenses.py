@@ -8,7 +8,7 @@ candidate, which is aligned within a band and reported with matched coverage and
 are too short alone (text put in or left out between them) are chained before the coverage test.
 No shuffle: each document is scanned where it is read.
 
-The band is a fifth of the template's words, at most ``BAND``, so that repeated short notices stay apart.
+The band is a fifth of the template's words, so that it grows with the template and repeated short notices stay apart.
 
 Cases: null or empty text has no match; parts of a template below ``min_coverage`` give no row (a lower one reports them); a text can match several templates, or one several times;
 templates shorter than K + WINDOW - 1 words are refused; repeated rows are scanned each; spans count
@@ -29,7 +29,6 @@ from .common import Words, slices, text_bytes
 
 K = 3
 WINDOW = 3
-BAND = 12
 MIN_COVERAGE = 0.8
 
 #: Texts of common license notices.
@@ -43,6 +42,11 @@ TEMPLATES = {
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
 }
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -78,13 +82,13 @@ def winnow(hashes: np.ndarray, inside: np.ndarray, window: int = WINDOW) -> np.n
     return at[inside[at]]
 
 
-def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Best local alignment within ``band`` of ``diagonal`` (text index less template index).
 
     Returns matched words, and first and last matched text index (or -1, -1).
     """
     width = 2 * band + 1
-    score = np.zeros(width, np.int64)
+    score, place = np.zeros(width, np.int64), np.arange(width)
     best = (0, 0, -1, -1)
     state = np.zeros((width, 3), np.int64)  # matched, first, last
     state[:, 1:] = -1
@@ -102,9 +106,9 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
         take = above > step
         moved = np.vstack([state[1:], [0, -1, -1]])
         step, new = np.where(take, above, step), np.where(take[:, None], moved, new)
-        for i in range(1, width):  # text word without partner
-            if step[i - 1] - 1 > step[i]:
-                step[i], new[i] = step[i - 1] - 1, new[i - 1]
+        reach = np.maximum.accumulate(step + place)  # text words without partner
+        new = new[np.maximum.accumulate(np.where(step + place == reach, place, 0))]
+        step = reach - place
         low = step <= 0
         step[low] = 0
         new[low] = (0, -1, -1)
@@ -156,7 +160,7 @@ class _Index:
         self.place = order - w.first[self.which]
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row for each match: key, license, coverage, n_matched, and the span's characters (start_char, end_char) and words."""
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([rows.schema[key], T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("n_matched", "start_word", "end_word", "start_char", "end_char")]])
@@ -177,9 +181,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
                 chars = [len(begin[: x - w.rows[row]].tobytes().decode("utf-8")) for x in (w.start[base + first], w.end[base + last])]
                 out.append((row, index.names[which], n / len(index.words[which]), n, first, last + 1, *chars))
 
-            for row, which, group in _clusters(seeds, w.first, index, band):
+            for row, which, group in _clusters(seeds, w.first, index):
                 own, template = w.hash[w.first[row] : w.first[row + 1]], index.words[which]
-                n, first, last = align(own, template, group, _band(template, band))
+                n, first, last = align(own, template, group, _band(template))
                 if n >= min_coverage * len(template):
                     add(row, which, n, first, last)
                 elif n:
@@ -197,17 +201,17 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
     return rows.mapInArrow(run, schema)
 
 
-def _band(template: np.ndarray, most: int) -> int:
+def _band(template: np.ndarray) -> int:
     """Narrow for short templates, so that one match doesn't stand for its neighbour."""
-    return min(most, 1 + len(template) // 5)
+    return 1 + len(template) // 5
 
 
-def _clusters(seeds: list[tuple[int, int, int, int]], first: np.ndarray, index: _Index, band: int) -> Iterator[tuple[int, int, int]]:
+def _clusters(seeds: list[tuple[int, int, int, int]], first: np.ndarray, index: _Index) -> Iterator[tuple[int, int, int]]:
     """Row, template and diagonal of each candidate: seeds of nearby diagonals are one."""
     found = sorted((row, which, p - int(first[row]) - place) for row, which, p, place in seeds)
     last = None
     for row, which, diagonal in found:
-        if last and last[:2] == (row, which) and diagonal - last[2] <= _band(index.words[which], band) // 2:
+        if last and last[:2] == (row, which) and diagonal - last[2] <= _band(index.words[which]) // 2:
             continue
         last = (row, which, diagonal)
         yield last
