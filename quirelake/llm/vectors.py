@@ -69,7 +69,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     edges = linked.select("rep", F.explode("to").alias("to"))
     found = components(edges, "rep", "to")
     per = reps.join(counts, "rep", "left").join(found, reps["rep"] == found["node"], "left")
-    per = per.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # stored, so that both sides of the join by vector are plain shuffles, which Spark splits where many rows have one vector
+    per = stored(per.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     out = own.select("id", "v").join(per, "v").select("id", "n_links", "component_id")
     out = out.unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
