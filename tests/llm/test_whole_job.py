@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from quirelake.llm import licenses, media, packing, url_rules
 from quirelake.plans import relational
@@ -79,3 +80,22 @@ def test_corners_of_captioned_and_cropped_images():
 def test_letterless_rows_go_without_labels(spark):
     docs = spark.createDataFrame([(1, "text", None), (2, None, None), (3, "12 34", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
+def test_program_where_best_fit_is_far_off():
+    """Lengths around a third of the capacity: best fit puts two in most sequences, the program three."""
+    rng = np.random.default_rng(1)
+    sizes, counts = np.unique(rng.integers(1166, 1567, 400), return_counts=True)
+    made, bound = packing.solved(sizes, counts)
+    used = sum(t for _, t in made)
+    assert bound >= -(-int((sizes * counts).sum()) // 4096) and used <= 1.04 * bound
+    assert used < 0.95 * sum(t for _, t in packing._best_fit(sizes, counts, 4096))
+    assert (sum(c * t for c, t in made) == counts).all() and all((c * sizes).sum() <= 4096 for c, _ in made)
+
+
+def test_lower_bound():
+    """By prices of the lengths it is the bound of the total length, or more where no configuration is full."""
+    sizes, counts = np.array([3, 5]), np.array([10, 7])
+    assert packing.lower_bound(sizes, counts, sizes / 10, 10) == pytest.approx(65 / 10)
+    assert packing.lower_bound(np.array([6]), np.array([9]), np.array([0.6]), 10) == pytest.approx(9)
+    assert packing.solved(np.zeros(0, int), np.zeros(0, int)) == ([], 0)
