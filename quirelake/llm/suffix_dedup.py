@@ -115,7 +115,8 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
         others = classes.join(sized(left.select("g").distinct()), "g", "left_semi")
         reach = reach.unionByName(_splits(left, others, rest))
     # every reach is a union of repeats around the same words, so a class needs only the furthest of each side
-    reach = reach.groupBy("class").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"))
+    # stored, so that both sides of the join by class are plain shuffles, which Spark splits where a class is frequent
+    reach = stored(reach.groupBy("class").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low")))
     placed = found.select("id", "rk", "pos", "class").join(reach, "class").select("id", "rk", (F.col("pos") - F.col("a")).alias("x"), (F.col("pos") + half + F.col("b")).alias("y"), "low")
     placed = placed.unionByName(copies.select("id", "rk", F.lit(0).alias("x"), F.col("n").cast("int").alias("y"), F.col("rep").alias("low")))
     # overlapping spans of a document are one: a span that begins past all before it begins a new one
