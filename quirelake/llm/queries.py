@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, licenses, media, ngram_join, packing, substring_dedup, suffix_dedup, url_rules, vectors
+from . import byte_bpe, language_id, licenses, media, ngram_join, packing, sentencepieces, substring_dedup, suffix_dedup, url_rules, vectors
 from .common import stored
 from .oracles import ORACLES
 
@@ -85,6 +85,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(marked, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepieces.encode(docs, path)
+    told = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sentencepieces.int_sha256("ids").alias("ids_sha256"), sentencepieces.int_sha256("bounds").alias("bounds_sha256"), "ids")
+    back = sentencepieces.decode(told, path)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "bounds_sha256")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
