@@ -17,7 +17,7 @@ its length: beside the text a slice of ``SLICE_BYTES`` or one longer text is hel
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import Any
@@ -384,19 +384,27 @@ def _encoded(raw: np.ndarray, rows: np.ndarray, m: Model, front: bool = True) ->
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", bounds: str = "bounds", begin_end: bool = True) -> DataFrame:
     """``df`` with the ids of ``text`` (between begin and end ids unless told otherwise) and the byte bounds of its pieces in place of the text."""
-    rest = [f for f in df.schema if f.name not in (text, ids, bounds)]
-    schema = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(bounds, T.ArrayType(T.IntegerType()))])
-    names = [f.name for f in rest]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(b: pa.RecordBatch) -> list[pa.Array]:
         m = model(path)
-        for b in slices(batches, column="__text"):
-            found, spans = encode_column(b.column("__text"), m)
-            if begin_end:
-                found = _framed(found, m.bos, m.eos)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], found, spans], [*names, ids, bounds])
+        found, own = encode_column(b.column("value"), m)
+        return [_framed(found, m.bos, m.eos) if begin_end else found, own]
+
+    return _mapped(df, text, {ids: T.ArrayType(T.IntegerType()), bounds: T.ArrayType(T.IntegerType())}, slices, coded)
+
+
+def _mapped(df: DataFrame, column: str, made: dict[str, T.DataType], parts: Callable, run: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """``df`` with the columns ``made`` of ``run`` in place of ``column`` and of what has their names; others pass through under plain names."""
+    rest = [f for f in df.schema if f.name != column and f.name not in made]
+    plain = [f"c{i}" for i in range(len(rest))]
+    names = [*plain, *(f"m{i}" for i in range(len(made)))]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*(f.dataType for f in rest), *made.values()])])
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, "value"):
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in plain], *run(b)], names)
+
+    given = df.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(rest, plain)], F.col(f"`{column}`").alias("value"))
+    return given.mapInArrow(mapped, schema).select(*[F.col(n).alias(c) for n, c in zip(names, [*(f.name for f in rest), *made])])
 
 
 def _framed(lists: pa.ListArray, bos: int, eos: int) -> pa.ListArray:
@@ -427,20 +435,16 @@ def spans(df: DataFrame, ids: str = "ids", bounds: str = "bounds", framed: bool
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids`` stand for in place of the ids."""
-    rest = [f for f in df.schema if f.name not in (ids, out)]
-    names = [f.name for f in rest]
-    schema = T.StructType([*rest, T.StructField(out, T.StringType())])
+    def few(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from (b.slice(at, 64) for at in range(0, b.num_rows, 64))
+        pa.default_memory_pool().release_unused()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(b: pa.RecordBatch) -> list[pa.Array]:
         m = model(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                b = batch.slice(at, 64)
-                texts = [m.whole.decode(x.as_py() or []) for x in b.column("__ids")]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string())], [*names, out])
-        pa.default_memory_pool().release_unused()
+        return [pa.array([m.whole.decode(x.as_py() or []) for x in b.column("value")], pa.string())]
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias("__ids")).mapInArrow(run, schema)
+    return _mapped(df, ids, {out: T.StringType()}, few, told)
 
 
 @F.arrow_udf(T.StringType())
