@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -229,6 +230,53 @@ class Words:
         return [hashlib.blake2b(self.hash[a:b], digest_size=16).digest() for a, b in zip(self.first.tolist(), self.first[1:].tolist())]
 
 
+def same_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal byte ranges: the group of each, and one member of each group.
+
+    Ranges are grouped by hash; every one is then compared with its group's first member byte by byte, and those that differ from it
+    are told apart by their bytes.
+    """
+    code, unique = pd.factorize(hashes)
+    code = code.astype(np.int64)
+    member = np.zeros(len(unique), np.int64)
+    member[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    other = np.zeros(len(code), bool)
+    for at in range(0, len(code), BLOCK_WORDS):
+        own = slice(at, at + BLOCK_WORDS)
+        first = member[code[own]]
+        size = (end[own] - start[own]).astype(np.int64)
+        unlike = size != end[first] - start[first]
+        check = np.flatnonzero(~unlike & (first != np.arange(at, at + len(first))))
+        for a in range(0, len(check), BLOCK_WORDS // 4):
+            k = check[a : a + BLOCK_WORDS // 4]
+            n = size[k]
+            differ = raw[ragged(start[own][k].astype(np.int64), n)] != raw[ragged(start[first[k]].astype(np.int64), n)]
+            if differ.any():
+                unlike[k[np.unique(np.repeat(np.arange(len(k)), n)[differ])]] = True
+        other[own] = unlike
+    if other.any():
+        told: dict[tuple[int, bytes], int] = {}
+        more = []
+        for i in np.flatnonzero(other).tolist():
+            key = (int(code[i]), raw[start[i] : end[i]].tobytes())
+            if key not in told:
+                told[key] = len(member) + len(more)
+                more.append(i)
+            code[i] = told[key]
+        member = np.concatenate((member, np.array(more, np.int64)))
+    return code, member
+
+
+def texts_at(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Byte ranges as strings."""
+    size = (end - start).astype(np.int64)
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    data = np.empty(int(bounds[-1]), np.uint8)
+    for at in range(0, len(size), BLOCK_WORDS):
+        data[bounds[at] : bounds[min(len(size), at + BLOCK_WORDS)]] = raw[ragged(start[at : at + BLOCK_WORDS].astype(np.int64), size[at : at + BLOCK_WORDS])]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(data)).cast(pa.string())
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """uint64 hashes as the long column that Spark has."""
     return pa.array(x.view(np.int64), pa.int64())

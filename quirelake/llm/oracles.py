@@ -30,4 +30,34 @@ SUBSTRING_DEDUP = f"""WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(te
     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
     SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op4_vector_join": VECTOR_JOIN, "op8_ngram_join": NGRAM_JOIN, "op9_substring_dedup": SUBSTRING_DEDUP}
+#: Terms, the kept ones of each language, counts of each group (also of those without any), probabilities, and both parts.
+SOURCE_DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+    tokens AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS c FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+    counted AS (SELECT lang, source, term, count(*) AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    grp AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN counted USING (lang, source) GROUP BY g.lang, g.source),
+    prob AS (SELECT k.lang, g.source, k.term, coalesce(x.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(x.c, 0) + 1)) // (g.n + l.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v) AS q
+        FROM kept k JOIN grp g USING (lang) JOIN langs l USING (lang) LEFT JOIN counted x ON x.lang = k.lang AND x.source = g.source AND x.term = k.term),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM prob a JOIN prob b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM prob WHERE c > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM parts)
+    SELECT lang, source, part, item, value, k::INTEGER AS rank FROM ranked WHERE part = 'pair' OR k <= 200"""
+
+#: Phrases of 1 to 4 words with their counts, each cut of the candidates, and what no longer candidate makes up for.
+PHRASES = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d)),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+    starts AS (SELECT lang, w, len(w) AS m, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),
+    grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= m),
+    f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+    cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    asked AS (SELECT lang, k, phrase, a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 : k], ' ') AS y FROM cand, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+    cuts AS (SELECT q.*, l.c AS l, r.c AS r, ((2000000::HUGEINT * a) // (l.c + r.c))::BIGINT AS score FROM asked q JOIN f l ON l.lang = q.lang AND l.k = q.j AND l.phrase = q.x JOIN f r ON r.lang = q.lang AND r.k = q.k - q.j AND r.phrase = q.y),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+    free AS (SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.lang = c.lang AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.a::HUGEINT >= 80 * c.a)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+    SELECT x.lang, rank, phrase, a, l, r, n, score FROM ranked x JOIN total t ON x.lang = t.lang WHERE rank <= 2000"""
+
+ORACLES = {"op4_vector_join": VECTOR_JOIN, "op8_ngram_join": NGRAM_JOIN, "op9_substring_dedup": SUBSTRING_DEDUP, "op11_source_divergence": SOURCE_DIVERGENCE, "op13_phrases": PHRASES}
