@@ -92,9 +92,8 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepieces.encode(docs, path)
-    told = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sentencepieces.int_sha256("ids").alias("ids_sha256"), sentencepieces.int_sha256("bounds").alias("bounds_sha256"), "ids")
-    back = sentencepieces.decode(told, path)
+    coded = sentencepieces.encode(docs, path, digests=True).withColumn("n_tokens", F.size("ids").cast("long"))
+    back = sentencepieces.decode(coded.drop("bounds"), path)
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "bounds_sha256")
 
 

@@ -135,8 +135,7 @@ class Model:
         plain = message([(1, 2, b"identity"), (3, 0, 0), (4, 0, 0), (5, 0, 0)])
         own = [(n, w, v) for n, w, v in parts if n != 3] + [(3, 2, plain)]
         self.segment = sentencepiece.SentencePieceProcessor(model_proto=message(own))
-        self.whole = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.bos, self.eos = self.whole.bos_id(), self.whole.eos_id()
+        self.bos, self.eos = self.segment.bos_id(), self.segment.eos_id()
         usual = {t for t, k in zip(text, kind) if k in (1, USER_DEFINED, 5)}
         #: Whether no piece goes on from something else to a space symbol, so that parts cut there are segmented alone.
         self.parts = SPACE in usual and not any(SPACE in _spaced(t) for t in usual)
@@ -190,6 +189,13 @@ def model(path: str) -> Model:
         return Model(f.read())
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Any:
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 # -- normalisation ------------------------------------------------------------
 
 
@@ -382,14 +388,21 @@ def _encoded(raw: np.ndarray, rows: np.ndarray, m: Model, front: bool = True) ->
     return flat[pick], per_row, where[ends[k] + row].astype(np.int32)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", bounds: str = "bounds", begin_end: bool = True) -> DataFrame:
-    """``df`` with the ids of ``text`` (between begin and end ids unless told otherwise) and the byte bounds of its pieces in place of the text."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", bounds: str = "bounds", begin_end: bool = True, digests: bool = False) -> DataFrame:
+    """``df`` with the ids of ``text`` (between begin and end ids unless told otherwise) and the byte bounds of its pieces in place of the text.
+
+    ``digests`` adds ``<ids>_sha256`` and ``<bounds>_sha256``, in lowercase hex, of both as little-endian 32-bit integers.
+    """
     def coded(b: pa.RecordBatch) -> list[pa.Array]:
         m = model(path)
         found, own = encode_column(b.column("value"), m)
-        return [_framed(found, m.bos, m.eos) if begin_end else found, own]
+        out = [_framed(found, m.bos, m.eos) if begin_end else found, own]
+        return [*out, *map(_sha256, out)] if digests else out
 
-    return _mapped(df, text, {ids: T.ArrayType(T.IntegerType()), bounds: T.ArrayType(T.IntegerType())}, slices, coded)
+    made = {ids: T.ArrayType(T.IntegerType()), bounds: T.ArrayType(T.IntegerType())}
+    if digests:
+        made |= {f"{ids}_sha256": T.StringType(), f"{bounds}_sha256": T.StringType()}
+    return _mapped(df, text, made, slices, coded)
 
 
 def _mapped(df: DataFrame, column: str, made: dict[str, T.DataType], parts: Callable, run: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
@@ -441,18 +454,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         pa.default_memory_pool().release_unused()
 
     def told(b: pa.RecordBatch) -> list[pa.Array]:
-        m = model(path)
-        return [pa.array([m.whole.decode(x.as_py() or []) for x in b.column("value")], pa.string())]
+        return [pa.array([decoder(path).decode(x.as_py() or []) for x in b.column("value")], pa.string())]
 
     return _mapped(df, ids, {out: T.StringType()}, few, told)
 
 
-@F.arrow_udf(T.StringType())
-def int_sha256(lists: pa.Array) -> pa.Array:
-    """SHA-256 of each list of ints as little-endian 32-bit integers, in lowercase hex."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
+def _sha256(lists: pa.ListArray) -> pa.Array:
     flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<i4")
-    end = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    begin = np.concatenate(([0], end[:-1])).astype(np.int64)
-    return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(begin, end)], pa.string())
+    end = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip([0, *end[:-1].tolist()], end.tolist())], pa.string())
