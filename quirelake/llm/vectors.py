@@ -11,7 +11,8 @@ of the links, never the pairs themselves.
 Equal vectors are collapsed first, so a vector that a third of all rows share is one row.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
-own component; vectors of different lengths never link; repeated rows count as rows; an
+own component; vectors of different lengths never link; repeated rows count as rows; rows of one id with different vectors are
+vectors of their own, each with its own links; a null id is that of its row alone and names no component, unless no vector that it reaches has an id; an
 empty table gives an empty result; extra columns are not returned.
 """
 
@@ -55,8 +56,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     top = F.array_max(F.transform("v", F.abs))
     rows = rows.withColumn("ok", fine & F.coalesce(top > 0, F.lit(False)))
     own = rows.where("ok")
-    reps = own.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    reps = stored(reps.select("rep", "n", "v"))
+    reps = own.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    # distinct vectors are told apart by a number of their own: ids may be null, or on several vectors
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("rep"), "low", "n", "v"))
     dims = [r[0] for r in reps.select(F.size("v")).distinct().collect()]
     linked = None
     for dim in dims:
@@ -69,8 +71,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     edges = linked.select("rep", F.explode("to").alias("to"))
     found = components(edges, "rep", "to")
     per = reps.join(counts, "rep", "left").join(found, reps["rep"] == found["node"], "left")
-    # stored, so that both sides of the join by vector are plain shuffles, which Spark splits where many rows have one vector
-    per = stored(per.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    # stored, so that both sides of the joins by component and by vector are plain shuffles, which Spark splits where many rows have one
+    per = stored(per.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"), "low"))
+    lows = stored(per.groupBy("c").agg(F.min("low").alias("component_id")))
+    per = stored(per.join(lows, "c").select("v", "n_links", "component_id"))
     out = own.select("id", "v").join(per, "v").select("id", "n_links", "component_id")
     out = out.unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
