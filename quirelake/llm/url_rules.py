@@ -3,9 +3,10 @@
 A URL's tokens are its scheme, host labels with their suffixes, path words and query keys (numbers
 become one token). ``mine`` has Spark's FP-growth find frequent sets of tokens and keeps rules "tokens -> bad" by
 support and confidence, without those that a shorter rule of no less confidence implies. No URL is cut: tokens
-that too few bad URLs have are in no rule, and of tokens that occur in the same labelled URLs one stands for all, which bounds
-the sets without losing a rule.
-``judge`` looks mined rules up by an inverted index on the rarest token of each.
+that too few bad URLs have are in no rule. Of tokens that occur in the same labelled URLs one stands for all while sets are mined, because
+sets that differ in such tokens alone have the same support and confidence; a rule has all of them again as ``members``, and any
+member of each of its items makes it fit. A class of tokens has no more members than a URL has tokens.
+``judge`` looks mined rules up by an inverted index on the members of the rarest item of each, and names the largest member of each item that the URL has.
 
 Cases: null URLs or URLs without ``://`` have an empty host and path, fit no rule and are
 judged by the method on no tokens; no labelled row means no mined rule; repeated rows are judged
@@ -64,14 +65,15 @@ _BAD = "label:bad"
 
 
 def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (items, key, confidence, support) from rows with a boolean ``bad``; null labels are left out."""
+    """Rules (items, members, key, confidence, support) from rows with a boolean ``bad``; null labels are left out."""
     spark = labelled.sparkSession
     rows = labelled.select(tokens(F.col(f"`{url}`")).alias("items"), F.col(f"`{bad}`").alias("bad")).where("bad is not null and size(items) > 0")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
-    sets = _frequent(rows, max(1, math.ceil(min_support * n - 1e-9)))
-    if sets is None:
-        return spark.createDataFrame([], "items array<string>, key string, confidence double, support double")
+    found = _frequent(rows, max(1, math.ceil(min_support * n - 1e-9)))
+    if found is None:
+        return spark.createDataFrame([], "items array<string>, members array<array<string>>, key string, confidence double, support double")
+    sets, stands = found
     with_bad = sets.where(F.array_contains("items", _BAD)).select(F.array_sort(F.array_remove("items", _BAD)).alias("items"), F.col("freq").alias("n_bad"))
     rules = with_bad.join(sets.select(F.array_sort("items").alias("items"), "freq"), "items").where(F.col("n_bad") / F.col("freq") >= min_confidence)
     rules = _indexed(rules.select("items", (F.col("n_bad") / F.col("freq")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")))
@@ -80,21 +82,24 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     parts = rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), "key")
     implied = one.join(parts, "key").where((F.size("less") < F.size("items")) & (F.col("sure") >= F.col("confidence")))
     implied = implied.where(F.size(F.array_except("less", "items")) == 0).select("items").distinct()
-    return _indexed(rules.drop("key").join(implied, "items", "left_anti")).select("items", "key", "confidence", "support")
+    kept = _indexed(rules.drop("key").join(implied, "items", "left_anti"))
+    each = kept.select("items", F.posexplode("items").alias("k", "t")).join(sized(stands), "t")
+    members = each.groupBy("items").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "members"))), lambda x: x["members"]).alias("members"))
+    return stored(kept.join(members, "items").select("items", "members", "key", "confidence", "support"))
 
 
-def _frequent(rows: DataFrame, least: int) -> DataFrame | None:
-    """Sets of tokens and ``_BAD`` (items, freq) of at least ``least`` rows, for rows (row, items, bad); None if there can't be any."""
+def _frequent(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame] | None:
+    """Sets of tokens and ``_BAD`` (items, freq) of at least ``least`` rows, for rows (row, items, bad), and the tokens that each token in them stands for (t, members); None if there can't be any."""
     each = rows.select("row", "bad", F.explode("items").alias("t"))
     same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
     per = each.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), *same).where(F.col("n_bad") >= least)
-    stands = stored(per.groupBy("n", "same1", "same2").agg(F.min("t").alias("t")).select("t"))
-    baskets = each.join(sized(stands), "t").groupBy("row", "bad").agg(F.collect_list("t").alias("items"))
+    stands = stored(per.groupBy("n", "same1", "same2").agg(F.min("t").alias("t"), F.array_sort(F.collect_list("t")).alias("members")).select("t", "members"))
+    baskets = each.join(sized(stands.select("t")), "t").groupBy("row", "bad").agg(F.collect_list("t").alias("items"))
     baskets = stored(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items")))
     m = baskets.count()
     if not m:
         return None
-    return stored(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=1.0).fit(baskets).freqItemsets)
+    return stored(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=1.0).fit(baskets).freqItemsets), stands
 
 
 def _indexed(rules: DataFrame) -> DataFrame:
@@ -130,9 +135,11 @@ def judge(df: DataFrame, rules: list[Rule], mined: DataFrame, url: str = "url")
     df = df.drop(*made)
     rows = stored(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("other"), F.monotonically_increasing_id().alias("row"), F.col(f"`{url}`").alias("url")))
     own = rows.select("row", tokens(F.col("url")).alias("tokens"))
-    hits = own.select("row", "tokens", F.explode("tokens").alias("key")).join(mined.select("items", "key", "confidence"), "key")
-    hits = hits.where(F.forall("items", lambda x: F.array_contains("tokens", x)))
-    best = hits.groupBy("row").agg(F.max(F.struct("confidence", F.array_join("items", " ").alias("text"))).alias("hit"))
+    index = mined.select("members", "confidence", F.explode(F.element_at("members", F.array_position("items", F.col("key")).cast("int"))).alias("key"))
+    hits = own.select("row", "tokens", F.explode("tokens").alias("key")).join(index, "key")
+    hits = hits.where(F.forall("members", lambda m: F.arrays_overlap("tokens", m)))
+    named = F.array_join(F.array_sort(F.transform("members", lambda m: F.array_max(F.array_intersect(m, F.col("tokens"))))), " ")
+    best = hits.groupBy("row").agg(F.max(F.struct("confidence", named.alias("text"))).alias("hit"))
     out = rows.join(best, "row", "left")
     out = out.withColumn("h", host(F.col("url"))).withColumn("p", path(F.col("url"))).withColumn("fit", fitting(rules, F.col("h"), F.col("p")))
     verdict = F.coalesce("fit.verdict", F.when(F.col("hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
