@@ -1,4 +1,4 @@
-"""Set operations behind the tables: upsert logs, references, trees, ranges and running offsets."""
+"""Set operations behind the tables: upsert logs, references and trees. What goes along an order is in ``ranges``."""
 
 from __future__ import annotations
 
@@ -41,11 +41,13 @@ def resolve(df: DataFrame, objects: DataFrame, num: str, value: str = "value") -
     return df.join(found, ["file_id", num], "left")
 
 
-def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """Objects that (file_id, num) roots reach over (file_id, src, dst) edges, with the fewest steps."""
+def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Objects that (file_id, num) roots reach over (file_id, src, dst) edges, with the fewest steps; ``depth`` is the most of them, if given."""
     shared_folder(spark)
     frontier = seen = roots.select("file_id", "num").distinct().withColumn("steps", F.lit(0))
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         step = frontier.join(edges, (edges["file_id"] == frontier["file_id"]) & (edges["src"] == frontier["num"])).select(frontier["file_id"], F.col("dst").alias("num")).distinct()
         frontier = step.join(seen, ["file_id", "num"], "left_anti").withColumn("steps", F.lit(k)).checkpoint()
         if frontier.isEmpty():
@@ -55,10 +57,13 @@ def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: in
 
 
 def inherit_sql(tree: str, attribute: str) -> str:
-    """SQL for the nearest non-null attribute on the way to the root; ``tree`` has node, parent and the attribute."""
+    """SQL for the nearest non-null attribute on the way to the root; ``tree`` has node, parent and the attribute.
+
+    It goes down level by level, at most as deep as ``spark.sql.cteRecursionLevelLimit`` (100), beyond which Spark stops with an error; ``inherit`` has no such limit.
+    """
     return (
         f"WITH RECURSIVE walk(node, value, depth) AS (SELECT node, {attribute}, 0 FROM {tree} WHERE parent IS NULL "
-        f"UNION ALL SELECT t.node, coalesce(t.{attribute}, w.value), w.depth + 1 FROM {tree} t JOIN walk w ON t.parent = w.node WHERE w.depth < 64) "
+        f"UNION ALL SELECT t.node, coalesce(t.{attribute}, w.value), w.depth + 1 FROM {tree} t JOIN walk w ON t.parent = w.node) "
         "SELECT node, value, depth FROM walk"
     )
 
@@ -80,40 +85,50 @@ def inherit(tree: DataFrame, attribute: str) -> DataFrame:
     return out.select("node", "value")
 
 
-def asof(left: DataFrame, right: DataFrame, key: list[str], left_order: str, right_order: str, values: list[str]) -> DataFrame:
-    """The last ``right`` row at or before each ``left`` row, by one sort of both and a running last value.
+def rollup(tree: DataFrame, value: Column) -> DataFrame:
+    """Every node of (node, parent) with the total of ``value`` over itself and all below it, at any depth.
 
-    Ties of the right side take the largest values. Left rows without one get nulls.
+    In round k a node has the total of what lies less than 2^k below it and knows the node 2^k above it, to which it adds its total next; so
+    rounds are logarithmic in the depth, for chains as for stars, and what goes to one node is summed up map-side. Nodes on or below a circle
+    get null; a parent that is no node ends the way up; a null value is zero.
     """
-    r = right.groupBy(*key, F.col(right_order).alias("_t")).agg(F.max(F.struct(*values)).alias("_v"))
-    both = left.withColumn("_t", F.col(left_order)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(r.schema["_v"].dataType))
-    r = r.select(*[F.col(c) if c in (*key, "_t", "_v") else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in [*left.columns, "_t"]], F.lit(0).alias("_side"), "_v")
-    w = Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.unionByName(r).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
-
-
-def overlaps(a: DataFrame, b: DataFrame, key: list[str], a_from: str, a_to: str, b_from: str, b_to: str) -> DataFrame:
-    """Pairs of a key whose half-open ranges meet: an equality join by key with the ranges as its condition."""
-    return a.join(b, key).where((F.col(a_from) < F.col(b_to)) & (F.col(b_from) < F.col(a_to)))
-
-
-def running_offsets(df: DataFrame, key: list[str], order: list[str], size: Column) -> DataFrame:
-    """Where each row starts and ends when the rows of a key are laid one after another."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("stop", F.sum(size).over(w)).withColumn("start", F.col("stop") - size)
-
+    spark = tree.sparkSession
+    shared_folder(spark)
+    rows = tree.select("node", F.col("parent").alias("up"), F.coalesce(value, F.lit(0)).alias("total"))
+    known = rows.select(F.col("node").alias("up"), F.lit(True).alias("_known"))
+    out = rows.join(known, "up", "left").select("node", F.when(F.col("_known"), F.col("up")).alias("up"), "total").checkpoint()
+    for _ in range(out.count().bit_length() + 1):
+        open_ = out.where("up is not null")
+        if open_.isEmpty():
+            break
+        gain = open_.groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("gain"))
+        above = out.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        moved = out.join(gain, "node", "left").select("node", "up", (F.col("total") + F.coalesce("gain", F.lit(0))).alias("total"))
+        still = moved.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), "total")
+        out = still.unionByName(moved.where("up is null")).checkpoint()
+    # what still has a way up goes in a circle, and so does what such a node is below
+    return out.select("node", F.when(F.col("up").isNull(), F.col("total")).alias("total"))
 
-def subsections(df: DataFrame, key: list[str], number: str) -> DataFrame:
-    """Runs of consecutive distinct numbers of a key: first and count."""
-    n = df.select(*key, number).distinct()
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(number))
-    return n.withColumn("_island", F.col(number) - rank).groupBy(*key, "_island").agg(F.min(number).alias("first"), F.count("*").alias("count")).drop("_island")
 
+def closure(tree: DataFrame) -> DataFrame:
+    """(ancestor, node, steps) for every node of (node, parent) and each of its ancestors, itself with 0 steps, in logarithmic rounds.
 
-def rollup_counts(closure: DataFrame) -> DataFrame:
-    """Leaves below each ancestor, from (ancestor, leaf) rows."""
-    return closure.groupBy("ancestor").agg(F.count("*").alias("count"))
+    The ways of 2^k steps that are known are put together with themselves, so the rows made are those of the result.
+    """
+    spark = tree.sparkSession
+    shared_folder(spark)
+    known = tree.select(F.col("node").alias("ancestor"), "node", F.lit(0).cast("long").alias("steps")).checkpoint()
+    jump = tree.where("parent is not null").join(tree.select(F.col("node").alias("parent")), "parent").select("node", F.col("parent").alias("up")).checkpoint()
+    n, k = known.count(), 0
+    while not jump.isEmpty():
+        if 1 << k > n:
+            raise ValueError("the tree has a circle")
+        more = known.join(jump.select(F.col("node").alias("ancestor"), "up"), "ancestor").select(F.col("up").alias("ancestor"), "node", (F.col("steps") + (1 << k)).alias("steps"))
+        known = known.unionByName(more).checkpoint()
+        above = jump.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        jump = jump.join(above, "up").select("node", F.col("next").alias("up")).checkpoint()
+        k += 1
+    return known
 
 
 def renumber(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import graph
+from ..operators import graph, ranges
 from ..streaming import ingest
 from .pdf import _DIGEST_SQL, _LETTERS_SQL, _ROMAN_SQL, _doc, built, table
 
@@ -31,7 +31,7 @@ def label_asof(spark, sf_dir):
     """The latest order of the same priority at or before each shipment day of an order's priority group."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("rule"))
     left = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("grp"), F.expr("o_orderdate + interval 12 hours").alias("at"), F.col("o_orderkey").alias("k"))
-    return graph.asof(left, o, ["grp"], "at", "at", ["rule"]).select("k", "grp", "rule")
+    return ranges.asof(left, o, ["grp"], "at", "at", ["rule"]).select("k", "grp", "rule")
 
 
 def inherit_nearest(spark, sf_dir):
@@ -58,11 +58,30 @@ _TREE_SQL = """t AS (SELECT 'r' || r_regionkey AS node, NULL::VARCHAR AS parent,
 
 
 def tree_rollup_count(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    per = c.groupBy("c_nationkey").agg(F.count("*").alias("k")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    up = per.select(F.explode(F.array(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))).alias("ancestor"), "k")
-    return up.groupBy("ancestor").agg(F.sum("k").alias("count"))
+    """Customers below each nation and region, from one tree of all three."""
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("leaf"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit(0).alias("leaf"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.lit(1).alias("leaf"))
+    counted = graph.rollup(r.unionByName(n).unionByName(c), F.col("leaf")).where("total > 0 and node not like 'c%'")
+    return counted.select(F.col("node").alias("ancestor"), F.col("total").alias("count"))
+
+
+def _orders_chain(spark, sf_dir):
+    """Each order below the one before it of the same customer: chains of any length."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return o.select(F.col("o_orderkey").alias("node"), before.alias("parent"), "o_custkey")
+
+
+def tree_chain_totals(spark, sf_dir):
+    """How many orders follow each order of a customer, itself included, and the sum of their keys."""
+    tree = _orders_chain(spark, sf_dir)
+    return graph.rollup(tree, F.lit(1)).withColumnRenamed("total", "count").join(graph.rollup(tree, F.col("node")), "node").select("node", "count", F.col("total").alias("keys"))
+
+
+def tree_closure(spark, sf_dir):
+    """Every order with all earlier ones of its customer, and how many steps they are away."""
+    return graph.closure(_orders_chain(spark, sf_dir)).select("ancestor", "node", "steps")
 
 
 def page_renumber(spark, sf_dir):
@@ -76,18 +95,47 @@ def range_overlap(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     a = e.select("user_id", F.col("event_id").alias("a"), F.col("at").alias("a_from"), (F.col("at") + 6 * 3600 * 1000000).alias("a_to"))
     b = e.select("user_id", F.col("event_id").alias("b"), F.col("at").alias("b_from"), (F.col("at") + 3600 * 1000000).alias("b_to"))
-    return graph.overlaps(a, b, ["user_id"], "a_from", "a_to", "b_from", "b_to").select("user_id", "a", "b")
+    return ranges.overlaps(a, b, ["user_id"], "a_from", "a_to", "b_from", "b_to").select("user_id", "a", "b")
 
 
 def running_offsets(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    out = graph.running_offsets(c, ["conv_id"], ["turn", "text"], F.char_length("text"))
-    return out.select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    out = ranges.running(c, ["conv_id"], ["turn", "text"], {"stop": F.char_length("text")})
+    return out.select("conv_id", "turn", (F.col("stop") - F.char_length("text")).cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+def running_offsets_all(spark, sf_dir):
+    """Where each turn is when all conversations are laid one after another: all rows are of one group."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") >= F.col("conv_id")).alias("all"))
+    out = ranges.running(c, ["all"], ["conv_id", "turn", "text"], {"stop": F.char_length("text"), "place": F.lit(1)})
+    return out.select("conv_id", "turn", (F.col("stop") - F.char_length("text")).cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("place").cast("long").alias("place"))
 
 
 def xref_subsections(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select("o_custkey", "o_orderkey")
-    return graph.subsections(o.select((F.col("o_custkey") % 7).alias("grp"), "o_orderkey"), ["grp"], "o_orderkey").select("grp", "first", "count")
+    return ranges.islands(o.select((F.col("o_custkey") % 7).alias("grp"), "o_orderkey"), ["grp"], "o_orderkey").select("grp", "first", "count")
+
+
+def xref_subsections_all(spark, sf_dir):
+    """Runs of order keys that aren't open, in one group."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select((F.col("o_custkey") >= F.col("o_custkey")).alias("all"), "o_orderkey")
+    return ranges.islands(o, ["all"], "o_orderkey").select("first", "count")
+
+
+def range_overlap_type(spark, sf_dir):
+    """Events of one type within a minute of each other, and how long they share: five keys have all rows, ranges are 1 s to 1 min long."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    a = e.select("event_type", F.col("event_id").alias("a"), F.col("at").alias("a_from"), (F.col("at") + 60_000_000).alias("a_to"))
+    b = e.select("event_type", F.col("event_id").alias("b"), F.col("at").alias("b_from"), (F.col("at") + 1_000_000 * (1 + F.pmod("event_id", F.lit(60)))).alias("b_to"))
+    shared = F.least("a_to", "b_to") - F.greatest("a_from", "b_from")
+    return ranges.overlaps(a, b, ["event_type"], "a_from", "a_to", "b_from", "b_to").select("event_type", "a", "b", shared.alias("shared"))
+
+
+def event_asof(spark, sf_dir):
+    """The last purchase before each event of another type, over all users: one group has all rows."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") >= F.col("user_id")).alias("all"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    right = e.where("event_type = 'purchase'").select("all", F.col("ts").alias("at"), F.col("event_id").alias("purchase"))
+    return ranges.asof(e.where("event_type <> 'purchase'"), right, ["all"], "ts", "at", ["purchase"]).select("event_id", "purchase")
 
 
 def _line_matrix():
@@ -184,8 +232,15 @@ ORACLES = {
     "inherit_nearest": f"WITH {_TREE_SQL} SELECT t.node, coalesce(t.attr, a.attr, b.attr) AS value FROM t LEFT JOIN t a ON t.parent = a.node LEFT JOIN t b ON a.parent = b.node",
     "inherit_recursive": f"WITH {_TREE_SQL} SELECT t.node, coalesce(t.attr, a.attr, b.attr) AS value, CASE WHEN a.node IS NULL THEN 0 WHEN b.node IS NULL THEN 1 ELSE 2 END::INTEGER AS depth FROM t LEFT JOIN t a ON t.parent = a.node LEFT JOIN t b ON a.parent = b.node",
     "tree_rollup_count": "SELECT 'n' || c_nationkey AS ancestor, count(*) AS count FROM customer GROUP BY c_nationkey UNION ALL SELECT 'r' || n_regionkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey",
+    "tree_chain_totals": "SELECT o_orderkey AS node, count(*) OVER w AS count, sum(o_orderkey) OVER w::BIGINT AS keys FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING)",
+    "tree_closure": "WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) SELECT a.o_orderkey AS ancestor, b.o_orderkey AS node, (b.k - a.k)::BIGINT AS steps FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.k <= b.k",
     "page_renumber": "SELECT l_orderkey, l_partkey, k - 2 AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem) WHERE k > 1",
     "range_overlap": "SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 6 HOUR",
+    "range_overlap_type": """WITH e AS (SELECT event_type, event_id, epoch_us(ts) AS pos FROM events), a AS (SELECT event_type, event_id AS a, pos AS f, pos + 60000000 AS t FROM e), b AS (SELECT event_type, event_id AS b, pos AS f, pos + 1000000 * (1 + event_id % 60) AS t FROM e)
+        SELECT a.event_type, a, b, (least(a.t, b.t) - greatest(a.f, b.f))::BIGINT AS shared FROM a JOIN b ON a.event_type = b.event_type AND a.f < b.t AND b.f < a.t""",
+    "event_asof": "WITH r AS (SELECT ts, max(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY ts) SELECT event_id, purchase FROM (SELECT event_id, ts FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN r ON l.ts >= r.ts",
+    "running_offsets_all": "SELECT conv_id, turn, (stop - length(text))::BIGINT AS start, stop::BIGINT AS stop, place FROM (SELECT *, sum(length(text)) OVER w AS stop, row_number() OVER w AS place FROM conversations WINDOW w AS (ORDER BY conv_id, turn, text ROWS UNBOUNDED PRECEDING))",
+    "xref_subsections_all": "SELECT min(n) AS first, count(*) AS count FROM (SELECT n, n - row_number() OVER (ORDER BY n) AS island FROM (SELECT DISTINCT o_orderkey AS n FROM orders WHERE o_orderstatus <> 'O')) GROUP BY island",
     "running_offsets": "SELECT conv_id, turn, (stop - length(text))::BIGINT AS start, stop::BIGINT AS stop FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS stop FROM conversations)",
     "xref_subsections": "SELECT grp, min(n) AS first, count(*) AS count FROM (SELECT grp, n, n - row_number() OVER (PARTITION BY grp ORDER BY n) AS island FROM (SELECT DISTINCT o_custkey % 7 AS grp, o_orderkey AS n FROM orders WHERE o_orderstatus <> 'O')) GROUP BY grp, island",
     "matrix_apply": "SELECT l_orderkey, l_partkey, round(2 * (l_quantity * l_linenumber + l_tax * l_quantity + l_linenumber), 6) AS x, round(3 * (l_discount * l_linenumber + (l_quantity + 1) * l_quantity + 2 * l_linenumber), 6) AS y FROM lineitem",
