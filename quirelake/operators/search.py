@@ -1,8 +1,8 @@
 """Text search over pages, with a rectangle for each line that a match touches.
 
-Everything is column expressions: pages without the needle are found from the texts of runs alone; the runs of the others are
-then gathered with their glyphs (one shuffle by file and page), and rectangles are folded from glyph
-boxes in the same row. Offsets count code points of the page's text, which is its runs without separators.
+Everything is column expressions over ``page_runs``, which has a page's text and its runs in one row, so no shuffle gathers them. Matches take the
+glyphs that they touch; only these meet the page's matrix, and rectangles are folded from them in the same row.
+Offsets count code points of the page's text, which is its runs without separators.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from ..sources.pdf import PdfCorpus
 from . import graph
 
 LIMIT = 2000
-#: Pages with the needle that are sent to their runs; more of them meet by a shuffle.
+#: Pages that are sent to where their runs are read; more of them meet by a shuffle.
 FEW_PAGES = 200_000
+#: Pages whose files are named in the filter of the scan.
+FEW_FILES = 500
+#: From this length on a needle without an index is looked for in texts first, so that glyphs are read for pages that have it.
+RARE = 5
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -73,15 +77,20 @@ def find(pages: DataFrame, query: str, case_sensitive: bool = False, whole_word:
     return found.select(*fields, "start", "end", F.substring("text", F.col("start") + 1, F.lit(len(needle))).alias("text"))
 
 
-def _rects(run: Column, start: Column, end: Column, y_down: bool) -> Column:
-    """Boxes of the glyphs that a range of the run covers, merged along a line."""
-    tall = F.greatest(F.lit(1.0), run["height"])
+def _touched(run: Column, start: Column, end: Column) -> Column:
+    """Height of a run and the glyphs of it that a range covers."""
+    return F.struct(run["height"].alias("height"), F.filter(run["glyphs"], lambda b: (b["start"] + 1 > start) & (b["start"] < end)).alias("glyphs"))
+
+
+def _rects(run: Column, y_down: bool, m: Column | None = None, scale: float = 1.0) -> Column:
+    """Boxes of touched glyphs, as the matrix ``m`` shows them, merged along a line."""
+    tall = F.greatest(F.lit(1.0), run["height"] * scale)
     up, down = tall * 0.78, tall * 0.22
-    touched = F.filter(run["glyphs"], lambda b: (b["start"] + 1 > start) & (b["start"] < end))
 
     def boxed(b: Column) -> Column:
-        low, high = (b["y"] - up, b["y"] + down) if y_down else (b["y"] - down, b["y"] + up)
-        return F.struct(b["x"].alias("x0"), low.alias("y0"), (b["x"] + b["width"]).alias("x1"), high.alias("y1"))
+        at = b if m is None else g.apply(m, b["x"], b["y"])
+        low, high = (at["y"] - up, at["y"] + down) if y_down else (at["y"] - down, at["y"] + up)
+        return F.struct(at["x"].alias("x0"), low.alias("y0"), (at["x"] + b["width"] * scale).alias("x1"), high.alias("y1"))
 
     def merge(acc: Column, b: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -90,37 +99,71 @@ def _rects(run: Column, start: Column, end: Column, y_down: bool) -> Column:
         return F.when(same, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.array_append(acc, b))
 
     empty = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    merged = F.aggregate(F.transform(touched, boxed), empty, merge)
+    merged = F.aggregate(F.transform(run["glyphs"], boxed), empty, merge)
     return F.transform(merged, lambda r: g.rect(r["x0"], r["y0"], r["x1"], r["y1"]))
 
 
-def search(corpus: PdfCorpus, query: str, case_sensitive: bool = False, whole_word: bool = False, limit: int | None = LIMIT, space: str = "screen", scale: float = 1.0, limit_per_file: bool = True) -> DataFrame:
+def _first_pages(texts: DataFrame, query: str, case_sensitive: bool, whole_word: bool, limit: int | None) -> DataFrame:
+    """Pages with the needle, by their texts alone; with a limit only those of a file where matches before the page haven't reached it."""
+    needle = query if case_sensitive else query.lower()
+    hit = texts.where(F.contains(F.col("text") if case_sensitive else F.lower("text"), F.lit(needle)))
+    if limit is None:
+        return hit.select("file_id", "page_index")
+    if whole_word:
+        n = find(hit.select("file_id", "page_index", "text"), query, case_sensitive, True).groupBy("file_id", "page_index").agg(F.count("*").alias("n"))
+    else:
+        n = hit.select("file_id", "page_index", F.size(starts(F.col("text") if case_sensitive else F.lower("text"), needle)).alias("n"))
+    before = Window.partitionBy("file_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
+    return n.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("_before") < limit).select("file_id", "page_index")
+
+
+def _on(df: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of ``df`` on these pages; where the pages are of few files, the files are a filter of the scan."""
+    spark = df.sparkSession
+    graph.shared_folder(spark)
+    pages = pages.checkpoint()
+    count = pages.limit(FEW_PAGES + 1).count()
+    if count <= FEW_FILES:
+        df = df.where(F.col("file_id").isin([r[0] for r in pages.select("file_id").distinct().collect()]))
+    return df.join(F.broadcast(pages) if count <= FEW_PAGES else pages, ["file_id", "page_index"], "left_semi")
+
+
+def search(corpus: PdfCorpus, query: str, case_sensitive: bool = False, whole_word: bool = False, limit: int | None = LIMIT, space: str = "screen", scale: float = 1.0, limit_per_file: bool = True, index=None) -> DataFrame:
     """Matches in reading order: file_id, page_index, start, end, text, rects, truncated.
 
-    ``limit`` holds for each file, or for all of them; truncated says that it was reached.
+    ``limit`` holds for each file, or for all of them; truncated says that it was reached. Where ``page_runs`` was saved, glyphs are read for the pages alone that
+    their text (or ``index``, a ``search_index.SearchIndex``) picks, and with a limit for none behind those that reach it; otherwise files are parsed once for both.
     """
     if space not in ("page", "screen"):
         raise ValueError("space is page or screen")
     needle = query if case_sensitive else query.lower()
-    parts = F.struct("run_seq", "text", "height", "glyphs")
-    graph.shared_folder(corpus.contents.sparkSession)
-    texts = corpus.page_text
-    pages = texts.where(F.contains(F.col("text") if case_sensitive else F.lower("text"), F.lit(needle))).select("file_id", "page_index").checkpoint()
-    few = pages.limit(FEW_PAGES + 1).count() <= FEW_PAGES
-    runs = corpus.text_runs.join(F.broadcast(pages) if few else pages, ["file_id", "page_index"], "left_semi")
-    runs = runs if space == "page" else _placed(corpus, runs, scale)
-    paged = runs.groupBy("file_id", "page_index").agg(F.array_sort(F.collect_list(parts), lambda a, b: a["run_seq"] - b["run_seq"]).alias("runs"))
-    paged = paged.withColumn("text", F.array_join(F.transform("runs", lambda r: r["text"]), ""))
+    paged = corpus.page_runs
+    if needle and (corpus.saved("page_runs") or index is not None):
+        texts = corpus.page_text
+        if index is not None:
+            texts = _on(texts, index.candidates(query, case_sensitive))
+        stop = limit if limit_per_file else None
+        if stop is not None or index is not None or len(needle) >= RARE:
+            paged = _on(paged, _first_pages(texts, query, case_sensitive, whole_word, stop))
     step = lambda acc, r: F.struct((acc["at"] + F.char_length(r["text"])).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    paged = paged.withColumn("offsets", F.aggregate("runs", begin, step, lambda acc: acc["out"]))
+    offsets = F.aggregate("runs", begin, step, lambda acc: acc["out"])
+    hay = F.col("text") if case_sensitive else F.lower("text")
+    paged = paged.where(F.contains(hay, F.lit(needle))).withColumn("offsets", offsets)
     found = find(paged, query, case_sensitive, whole_word, keep=["runs", "offsets"])
     spans = F.filter(F.arrays_zip("runs", "offsets"), lambda z: (z["offsets"] + F.char_length(z["runs"]["text"]) > F.col("start")) & (z["offsets"] < F.col("end")))
-    rects = F.flatten(F.transform(spans, lambda z: _rects(z["runs"], F.col("start") - z["offsets"], F.col("end") - z["offsets"], space == "screen")))
-    found = found.select("file_id", "page_index", "start", "end", "text", rects.alias("rects")).where(F.size("rects") > 0)
-    if limit is None:
-        return found.withColumn("truncated", F.lit(False))
-    return limited(found, limit, limit_per_file)
+    spans = F.transform(spans, lambda z: _touched(z["runs"], F.col("start") - z["offsets"], F.col("end") - z["offsets"]))
+    found = found.select("file_id", "page_index", "start", "end", "text", F.filter(spans, lambda s: F.size(s["glyphs"]) > 0).alias("spans")).where(F.size("spans") > 0)
+    if limit is not None:
+        found = limited(found, limit, limit_per_file)
+    else:
+        found = found.withColumn("truncated", F.lit(False))
+    m = None
+    if space == "screen":
+        shown = corpus.pages.select("file_id", "page_index", g.display(F.col("crop_box"), F.col("rotate"), scale)["matrix"].alias("m"))
+        found, m = found.join(shown, ["file_id", "page_index"]), F.col("m")
+    rects = F.flatten(F.transform("spans", lambda s: _rects(s, space == "screen", m, scale if m is not None else 1.0)))
+    return found.select("file_id", "page_index", "start", "end", "text", rects.alias("rects"), "truncated")
 
 
 def limited(matches: DataFrame, limit: int, per_file: bool = True) -> DataFrame:

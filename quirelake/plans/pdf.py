@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 from ..fixtures import builder
 from ..functions import geometry as g
 from ..operators import edit as edits
+from ..operators import graph
 from ..operators import pages as pg
 from ..operators import search as se
+from ..operators.search_index import SearchIndex
 from ..sources.pdf import PdfCorpus, native_startxref, native_version
 
 NEEDLE = "the"
+RARE = "worth"
 LABELS = b"0 << /S /r /P (a-) >> 2 << /S /D /St 5 >> 4 << /S /A >> 8 << /S /a /St 26 >> 12 << /S /R >> 20 << /P (x) >>"
 TITLES = ["First", "Zweite Überschrift", "Third (3)"]
 
@@ -105,6 +109,35 @@ def pdf_search_rects_screen(spark, sf_dir):
     return _doc(found, F.col("page_index").cast("long").alias("page"), F.col("start").cast("long").alias("start"), F.round(r["x0"], 4).alias("x0"), F.round(r["y0"], 4).alias("y0"))
 
 
+def _saved(spark, sf_dir) -> PdfCorpus:
+    """The corpus with its pages saved below the shared folder."""
+    top = f"{graph.shared_folder(spark)}/quirelake-saved-{uuid.uuid4().hex}"
+    return built(spark, sf_dir, one_page_a_line=True).save_tables(top, ["page_runs", "pages"])
+
+
+def _index(corpus: PdfCorpus) -> SearchIndex:
+    spark = corpus.contents.sparkSession
+    return SearchIndex.build(corpus.page_text, f"{graph.shared_folder(spark)}/quirelake-index-{uuid.uuid4().hex}")
+
+
+def pdf_index_search(spark, sf_dir):
+    """A search that reads the glyphs of the pages that the index finds."""
+    corpus = _saved(spark, sf_dir)
+    found = se.search(corpus, RARE, limit=None, space="page", index=_index(corpus))
+    return _doc(found, F.col("page_index").cast("long").alias("page"), F.col("start").cast("long").alias("start"), F.size("rects").cast("long").alias("n"))
+
+
+def pdf_index_candidates(spark, sf_dir):
+    """Pages that have all the three characters of the needle, from postings alone."""
+    return _doc(_index(built(spark, sf_dir, one_page_a_line=True)).candidates(RARE), F.col("page_index").cast("long").alias("page"))
+
+
+def pdf_search_limit_saved(spark, sf_dir):
+    """The first matches of each file where pages are saved: only pages up to the limit are expanded."""
+    found = se.search(_saved(spark, sf_dir), NEEDLE, limit=3, space="page")
+    return _doc(found, F.col("page_index").cast("long").alias("page"), F.col("start").cast("long").alias("start"), "truncated")
+
+
 def pdf_snippets(spark, sf_dir):
     corpus = built(spark, sf_dir)
     return _doc(se.snippets(se.find(corpus.page_text, NEEDLE), corpus.page_text, first=10), F.col("hit").cast("long").alias("hit"), "before", "text", "after", F.col("more").cast("long").alias("more"))
@@ -260,6 +293,12 @@ ORACLES = {
     "pdf_snippets": _matches_sql(NEEDLE, True, tail="""SELECT doc_id, k AS hit, CASE WHEN "start" > 0 THEN substr(t, greatest("start" - 34, 0) + 1, "start" - greatest("start" - 34, 0)) ELSE '' END AS before, text, substr(t, "end" + 1, 34) AS after, greatest(n - 10, 0) AS more
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM m) WHERE k <= 10""".replace("before, text, substr", "before, text, substr")),
     "pdf_step_match": _matches_sql(NEEDLE, True, tail='SELECT doc_id, k AS "match", CASE WHEN k = 0 THEN n - 1 ELSE k - 1 END AS "to" FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY "start") - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM m)'),
+    "pdf_index_search": f"""WITH l AS ({_LINES_SQL}), p AS (SELECT doc_id, k, unnest(string_split(lower(line), '{RARE}')) AS piece, unnest(range(len(string_split(lower(line), '{RARE}')))) AS i, len(string_split(lower(line), '{RARE}')) AS c FROM l)
+        SELECT doc_id, k::BIGINT AS page, "start", 1::BIGINT AS n FROM (SELECT doc_id, k, i, c, (sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) + i * {len(RARE)})::BIGINT AS "start" FROM p) WHERE i < c - 1""",
+    "pdf_index_candidates": f"WITH l AS ({_LINES_SQL}) SELECT doc_id, k::BIGINT AS page FROM l WHERE " + " AND ".join(f"contains(lower(line), '{RARE[i : i + 3]}')" for i in range(len(RARE) - 2)),
+    "pdf_search_limit_saved": f"""WITH l AS ({_LINES_SQL}), p AS (SELECT doc_id, k, unnest(string_split(lower(line), '{NEEDLE}')) AS piece, unnest(range(len(string_split(lower(line), '{NEEDLE}')))) AS i, len(string_split(lower(line), '{NEEDLE}')) AS c FROM l),
+        m AS (SELECT doc_id, k, i, c, (sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) + i * {len(NEEDLE)})::BIGINT AS "start" FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, "start") AS j, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE i < c - 1)
+        SELECT doc_id, k::BIGINT AS page, "start", n >= 3 AS truncated FROM r WHERE j <= 3""",
     "pdf_search_rects": f"""WITH l AS ({_LINES_SQL}), p AS (SELECT doc_id, k, unnest(string_split(lower(line), '{NEEDLE}')) AS piece, unnest(range(len(string_split(lower(line), '{NEEDLE}')))) AS i, len(string_split(lower(line), '{NEEDLE}')) AS c FROM l),
         s AS (SELECT doc_id, k, i, c, (sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) + i * 3)::BIGINT AS pos FROM p)
         SELECT doc_id, k AS page, pos AS "start", 1::BIGINT AS n, 72.0::DOUBLE + 6 * pos AS x0, 717.8::DOUBLE AS y0, 72.0::DOUBLE + 6 * pos + 18 AS x1, 727.8::DOUBLE AS y1 FROM s WHERE i < c - 1""",

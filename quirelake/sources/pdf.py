@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -36,11 +35,17 @@ SCHEMAS = {
     "fonts": "file_id string, page_index int, font_name string, subtype string, base_font string, first_char int, default_width double, has_to_unicode boolean, to_unicode_size int, mapped_codes array<int>",
     "font_codes": "file_id string, page_index int, font_name string, code int, width double, text string",
     "text_runs": f"file_id string, page_index int, run_seq int, text string, x double, y double, width double, height double, angle double, font_name string, font_size double, ctm {MATRIX}, glyphs array<struct<start:int,x:double,y:double,width:double>>",
+    "page_text": "file_id string, page_index int, text string, runs long",
     "outline": "file_id string, path array<int>, title string, page_index int, depth int",
     "page_labels": "file_id string, from_index int, style string, prefix string, start int",
     "repairs": "file_id string, seq int, code string, detail string",
     "info": "file_id string, key string, value string",
 }
+_RUN = SCHEMAS["text_runs"].removeprefix("file_id string, page_index int, ")
+#: A page's text and its runs in one row, so that nothing has to gather them; ``text_runs`` and ``page_text`` can be told from it.
+SCHEMAS["page_runs"] = f"file_id string, page_index int, text string, runs array<struct<{_RUN}>>"
+#: Tables with large values, which are saved by a parse of their own.
+_WIDE = ("page_runs", "text_runs", "streams")
 #: Rows of a table that are held before they leave as one Arrow batch.
 _ROWS = 4096
 
@@ -213,12 +218,42 @@ class _Runs(_Rows):
         self.held, self.size = [], 0
 
 
+class _PageRuns(_Runs):
+    """The runs of each page in one row; pages without any have none."""
+
+    def add(self, file_id: str, pdf: PdfFile) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for i, page in _with_text(pdf):
+            for seq, r in enumerate(runs(operations(pdf.contents(page)), PageFonts(pdf, page, cache))):
+                self.held.append((file_id, i, seq, r))
+                self.size += len(r.xs)
+            if self.size > 200_000 or len(self.held) >= 4 * _ROWS:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            first = [k for k, h in enumerate(self.held) if h[2] == 0]
+            bounds = [*first, len(self.held)]
+            text = pa.array(["".join(h[3].text for h in self.held[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string())
+            head = [pa.array([self.held[k][0] for k in first], pa.string()), pa.array([self.held[k][1] for k in first], pa.int32()), text]
+            if self.kind == "page_text":
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.diff(bounds).astype(np.int64))], schema=self.schema)
+            else:
+                own = _run_batch(self.held, pa.schema([*list(self.schema)[:2], *self.schema.field("runs").type.value_type]))
+                each = pa.StructArray.from_arrays(own.columns[2:], own.schema.names[2:])
+                yield pa.RecordBatch.from_arrays([*head, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each).cast(self.schema.field("runs").type)], schema=self.schema)
+        self.held, self.size = [], 0
+
+
+_HOLDERS: dict[str, type[_Rows]] = {"text_runs": _Runs, "page_runs": _PageRuns, "page_text": _PageRuns}
+
+
 def _parsed(kinds: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, pa.RecordBatch]]]:
     """Batches of the tables ``kinds``, each file being parsed once."""
     schemas = {k: to_arrow_schema(T.StructType.fromDDL(SCHEMAS[k])) for k in kinds}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
-        tables = {k: (_Runs if k == "text_runs" else _Rows)(k, x) for k, x in schemas.items()}
+        tables = {k: _HOLDERS.get(k, _Rows)(k, x) for k, x in schemas.items()}
         for b in batches:
             for file_id, content in zip(b.column("file_id").to_pylist(), b.column("content")):
                 data = content.as_py()
@@ -261,6 +296,9 @@ class PdfCorpus:
         self.contents, self._tables = contents, dict(tables or {})
 
     def table(self, kind: str) -> DataFrame:
+        """A table of ``SCHEMAS``; ``page_text`` is the text of each page that has any, its runs in order without separators."""
+        if kind not in self._tables and (told := self._told(kind)) is not None:
+            self._tables[kind] = told
         if kind not in self._tables:
             parsed = _parsed([kind])
             out = self.contents.select("file_id", "content").mapInArrow(lambda batches: (b for _, b in parsed(batches)), SCHEMAS[kind])
@@ -268,17 +306,30 @@ class PdfCorpus:
             self._tables[kind] = out.withColumn(variant, F.parse_json(variant)) if variant else out
         return self._tables[kind]
 
+    def _told(self, kind: str) -> DataFrame | None:
+        """A table that follows from one that was saved."""
+        pages, runs_ = self._tables.get("page_runs"), self._tables.get("text_runs")
+        if kind == "text_runs" and pages is not None:
+            return pages.select("file_id", "page_index", F.inline("runs"))
+        if kind == "page_text" and pages is not None:
+            return pages.select("file_id", "page_index", "text", F.size("runs").cast("long").alias("runs"))
+        if kind in ("page_text", "page_runs") and runs_ is not None:
+            fields = ["run_seq", "text"] if kind == "page_text" else runs_.columns[2:]
+            ordered = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["run_seq"] - b["run_seq"])
+            grouped = runs_.groupBy("file_id", "page_index").agg(ordered.alias("runs"))
+            text = F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text")
+            return grouped.select("file_id", "page_index", text, F.size("runs").cast("long").alias("runs") if kind == "page_text" else "runs")
+        return None
+
+    def saved(self, kind: str) -> bool:
+        """Whether a table is read from files, without parsing."""
+        return kind in self._tables
+
     def __getattr__(self, kind: str) -> DataFrame:
         if kind in SCHEMAS:
             return self.table(kind)
         raise AttributeError(kind)
 
-    @cached_property
-    def page_text(self) -> DataFrame:
-        """Text of each page that has any: its runs in order, without separators."""
-        ordered = F.array_sort(F.collect_list(F.struct("run_seq", "text")))
-        return self.table("text_runs").groupBy("file_id", "page_index").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("text"), F.count("*").alias("runs"))
-
     def search(self, query: str, **options) -> DataFrame:
         """``operators.search.search`` over this corpus."""
         from ..operators.search import search
@@ -306,10 +357,14 @@ class PdfCorpus:
         return save(self, incremental, compress)
 
     def save_tables(self, path: str, kinds: list[str] | None = None) -> PdfCorpus:
-        """Write tables as Parquet below ``path`` and read them from there; all but those with VARIANT columns in one parse of each file."""
+        """Write tables as Parquet below ``path`` and read them from there.
+
+        Narrow tables come from one parse of each file; those with large values or VARIANT columns from one each. ``text_runs`` and ``page_text`` are saved as
+        ``page_runs``, from which they follow.
+        """
         spark, tables = self.contents.sparkSession, {}
-        kinds = kinds or list(SCHEMAS)
-        together = [k for k in kinds if k not in _VARIANTS and k not in self._tables]
+        kinds = list(dict.fromkeys("page_runs" if k in ("text_runs", "page_text") else k for k in kinds or SCHEMAS))
+        together = [k for k in kinds if k not in _VARIANTS and k not in _WIDE and k not in self._tables]
         if len(together) > 1:
             self._save_together(f"{path}/parsed", together)
             tables = {k: spark.read.schema(f"`{k}` struct<{_struct(k)}>").parquet(f"{path}/parsed/kind={k}").select(f"{k}.*") for k in together}
@@ -317,7 +372,8 @@ class PdfCorpus:
             if kind not in tables:
                 self.table(kind).write.mode("overwrite").parquet(f"{path}/{kind}")
                 tables[kind] = spark.read.parquet(f"{path}/{kind}")
-        return PdfCorpus(self.contents, tables)
+        kept = {k: t for k, t in self._tables.items() if k in tables}
+        return PdfCorpus(self.contents, {**kept, **tables})
 
     def _save_together(self, path: str, kinds: list[str]) -> None:
         """One folder of Parquet files for each table, its rows as a struct of that name."""
