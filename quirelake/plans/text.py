@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import builder
 from ..functions import geometry as g
-from ..operators import graph
+from ..operators import content_state, graph
 from ..operators import pages as pg
 from ..operators import search as se
 from ..operators.edit import PdfSink
@@ -23,6 +23,21 @@ def pdf_text_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc(runs, F.col("run_seq").cast("long").alias("line"), F.md5(F.col("text").cast("binary")).alias("digest"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("width", 4).alias("width"))
 
 
+def pdf_state_positions(spark, sf_dir):
+    """Where runs are and with what spacing, told from the operators by joins and windows alone."""
+    shown = content_state.text_starts(built(spark, sf_dir, content=builder.operator_content).content_ops)
+    line = F.row_number().over(Window.partitionBy("file_id", "page_index").orderBy("op_seq")) - 1
+    return _doc(shown, line.cast("long").alias("line"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("char"), F.col("word"), F.col("rise"), F.col("mode"), F.col("scale"), "font_size")
+
+
+def pdf_state_nested(spark, sf_dir):
+    """The page matrix of runs inside two nested ``q cm .. Q``, and how deep they are."""
+    half = {"op": "set_box", "page": 0, "key": "MediaBox", "scale_content": True}
+    edited = _edited(spark, sf_dir, [{**half, "box": [0.0, 0.0, 306.0, 396.0]}, {**half, "box": [10.0, 0.0, 163.0, 198.0]}])
+    shown = content_state.text_starts(edited.content_ops.where("page_index = 0"))
+    return _doc(shown, F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("ctm.a").alias("scale"), F.col("ctm.e").alias("shift"), F.col("depth").cast("long").alias("depth"))
+
+
 def pdf_operator_text(spark, sf_dir):
     return _digest(built(spark, sf_dir, content=builder.operator_content))
 
@@ -105,6 +120,11 @@ ORACLES = {
     "pdf_text_operators": f"""SELECT doc_id, k::BIGINT AS line, md5(line) AS digest, round({_by_operator("72", "72", "72", "72", "87", "72", "72", "77")}::DOUBLE, 4) AS x,
         round({_by_operator("720 - 12 * k", "720 - 12 * k", "720 - 12 * k", "720 - 12 * k", "718 - 12 * k", "708 - 12 * k", "708 - 12 * k", "714 - 12 * k")}::DOUBLE, 4) AS y,
         round({_by_operator("6 * length(line)", "7.5 * length(line)", f"6 * length(line) + 2 * {_SPACES}", "3 * length(line)", "6 * length(line)", "6 * length(line)", f"8 * length(line) + {_SPACES}", "6 * length(line)")}::DOUBLE, 4) AS width FROM ({_LINES_SQL})""",
+    "pdf_state_positions": f"""SELECT doc_id, k::BIGINT AS line, round({_by_operator("72", "72", "72", "72", "87", "72", "72", "77")}::DOUBLE, 4) AS x,
+        round({_by_operator("720 - 12 * k", "720 - 12 * k", "720 - 12 * k", "720 - 12 * k", "718 - 12 * k", "708 - 12 * k", "708 - 12 * k", "714 - 12 * k")}::DOUBLE, 4) AS y,
+        {_by_operator("0", "1.5", "0", "0", "0", "0", "2", "0")}::DOUBLE AS char, {_by_operator("0", "0", "2", "0", "0", "0", "1", "0")}::DOUBLE AS word, {_by_operator("0", "0", "0", "0", "3", "0", "0", "0")}::DOUBLE AS rise,
+        {_by_operator("0", "0", "0", "0", "0", "0", "0", "3")}::DOUBLE AS mode, {_by_operator("1", "1", "1", "0.5", "1", "1", "1", "1")}::DOUBLE AS scale, 10.0::DOUBLE AS font_size FROM ({_LINES_SQL})""",
+    "pdf_state_nested": f"SELECT doc_id, 8.0::DOUBLE AS x, 180.0::DOUBLE AS y, 0.25::DOUBLE AS scale, -10.0::DOUBLE AS shift, 2::BIGINT AS depth FROM ({_LINES_SQL}) WHERE k = 0 AND length(line) > 0",
     "pdf_operator_text": _DIGEST_SQL,
     "pdf_inline_images": f"""WITH d AS (SELECT DISTINCT doc_id, n FROM ({_LINES_SQL})) SELECT doc_id, op, (CASE op WHEN 'BI' THEN 1 WHEN 'TJ' THEN (n + 3) // 8 WHEN 'TD' THEN n // 8 ELSE 2 * (n // 8) END)::BIGINT AS n
         FROM d, (VALUES ('BI'), ('TJ'), ('TD'), ('Tr')) v(op) WHERE op = 'BI' OR (op = 'TJ' AND n > 4) OR n > 7""",
