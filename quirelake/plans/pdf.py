@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import builder
 from ..functions import geometry as g
 from ..operators import edit as edits
-from ..operators import graph
+from ..operators import graph, page_order
 from ..operators import pages as pg
 from ..operators import search as se
 from ..operators.search_index import SearchIndex
@@ -254,6 +254,15 @@ def pdf_edit_box(spark, sf_dir):
     return _doc(runs, F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("height", 4).alias("height"), F.col("media_box.x1").alias("page_width"))
 
 
+def page_edit_places(spark, sf_dir):
+    """Six edits of every file on its page table alone: the lines of a document are its pages."""
+    lines = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("page_index", "line")).select("file_id", "page_index")
+    steps = [(1, "remove", None, None, [0, 2]), (2, "move", 2, 0, None), (3, "insert_blank", 1, None, None), (4, "insert_copy", 0, 1, None), (5, "insert_copy", 99, 2, None), (6, "remove", None, None, None)]
+    each = lines.select("file_id").distinct().withColumn("e", F.explode(F.array(*[F.struct(F.lit(q).alias("seq"), F.lit(o).alias("op"), F.lit(a).cast("int").alias("at"), F.lit(p).cast("int").alias("page"), F.array(*map(F.lit, g or [])).cast("array<int>").alias("pages")) for q, o, a, p, g in steps]))).select("file_id", "e.*")
+    found = page_order.places(lines, each)
+    return found.select(F.col("file_id").alias("doc_id"), F.col("place").cast("long").alias("place"), F.col("page_index").cast("long").alias("page"), F.col("seq").cast("long").alias("made_by"))
+
+
 def pdf_save_full(spark, sf_dir):
     return _digest(PdfCorpus(edits.save(built(spark, sf_dir, form="objstm"), compress=True)))
 
@@ -320,6 +329,13 @@ ORACLES = {
     "pdf_edit_move": _after("CASE WHEN k = 0 THEN least(2, n - 1) + 0.5 ELSE k END"),
     "pdf_edit_insert": f"SELECT doc_id, CASE WHEN k = 0 THEN k ELSE k + 1 END AS page, line AS text FROM ({_LINES_SQL}) UNION ALL SELECT DISTINCT doc_id, 1::BIGINT, '' FROM documents",
     "pdf_edit_copy": f"SELECT doc_id, k + 1 AS page, line AS text FROM ({_LINES_SQL}) UNION ALL SELECT doc_id, 0::BIGINT, CASE WHEN n > 1 THEN max(line) FILTER (k = 1) ELSE '' END FROM ({_LINES_SQL}) GROUP BY doc_id, n",
+    "page_edit_places": f"""WITH p AS (SELECT doc_id, [{{'p': x, 's': NULL::BIGINT}} FOR x IN range(any_value(n))] AS l FROM ({_LINES_SQL}) GROUP BY doc_id),
+        a AS (SELECT doc_id, [x FOR x IN l IF x.p NOT IN (0, 2)] AS l FROM p),
+        b AS (SELECT doc_id, CASE WHEN len(l) < 2 THEN l ELSE l[2 : least(3, len(l))] || l[1 : 1] || l[4 :] END AS l FROM a),
+        c AS (SELECT doc_id, l[1 : least(1, len(l))] || [{{'p': NULL::BIGINT, 's': 3::BIGINT}}] || l[2 :] AS l FROM b),
+        d AS (SELECT doc_id, [{{'p': CASE WHEN len(l) > 1 THEN l[2].p END, 's': 4::BIGINT}}] || l AS l FROM c),
+        e AS (SELECT doc_id, l[1 : 99] || [{{'p': CASE WHEN len(l) > 2 THEN l[3].p END, 's': 5::BIGINT}}] || l[100 :] AS l FROM d)
+        SELECT doc_id, unnest(range(len(l))) AS place, unnest([x.p FOR x IN l]) AS page, unnest([x.s FOR x IN l]) AS made_by FROM e""",
     "pdf_edit_rotate": f"SELECT doc_id, k AS page, CASE WHEN k = 0 THEN 90 ELSE 0 END::BIGINT AS rotate FROM ({_LINES_SQL})",
     "pdf_edit_box": f"SELECT doc_id, 36.0::DOUBLE AS x, 360.0::DOUBLE AS y, 5.0::DOUBLE AS height, 306.0::DOUBLE AS page_width FROM ({_LINES_SQL}) WHERE k = 0 AND length(line) > 0",
     "pdf_save_appended": "SELECT doc_id, true AS appended FROM documents",
@@ -329,7 +345,7 @@ ORACLES = {
         SELECT doc_id, k AS page, pos AS "start", 1440.0::DOUBLE AS x0, round(2 * (72.0::DOUBLE + 6 * pos) - 15.6, 4) AS y0 FROM s WHERE i < c - 1""",
 }
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("pdf_") and callable(v)}
+QUERIES = {k: v for k, v in globals().items() if k.startswith(("pdf_", "page_edit")) and callable(v)}
 QUERIES |= {
     "pdf_objstm": _variant("flate", "objstm"),
     "pdf_repair_offsets": _variant("flate", "shifted"),
