@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import builder
 from ..functions import geometry as g
 from ..operators import edit as edits
-from ..operators import graph, page_order
+from ..operators import graph, page_order, split_scan
 from ..operators import pages as pg
 from ..operators import search as se
 from ..operators.search_index import SearchIndex
@@ -263,6 +263,14 @@ def page_edit_places(spark, sf_dir):
     return found.select(F.col("file_id").alias("doc_id"), F.col("place").cast("long").alias("place"), F.col("page_index").cast("long").alias("page"), F.col("seq").cast("long").alias("made_by"))
 
 
+def pdf_split_scan(spark, sf_dir):
+    """Text operators and objects outside of strings, by scanning every file in ranges of 700 bytes."""
+    corpus = built(spark, sf_dir, "plain")
+    shown = split_scan.find_outside(corpus.contents, b" Tj", 700).groupBy("file_id").agg(F.count("*").alias("shown"))
+    objects = split_scan.find_objects(corpus.contents, 700).groupBy("file_id").agg(F.count("*").alias("objects"), F.sum("obj_num").alias("numbers"))
+    return _doc(shown.join(objects, "file_id"), "shown", "objects", "numbers")
+
+
 def pdf_save_full(spark, sf_dir):
     return _digest(PdfCorpus(edits.save(built(spark, sf_dir, form="objstm"), compress=True)))
 
@@ -336,6 +344,7 @@ ORACLES = {
         d AS (SELECT doc_id, [{{'p': CASE WHEN len(l) > 1 THEN l[2].p END, 's': 4::BIGINT}}] || l AS l FROM c),
         e AS (SELECT doc_id, l[1 : 99] || [{{'p': CASE WHEN len(l) > 2 THEN l[3].p END, 's': 5::BIGINT}}] || l[100 :] AS l FROM d)
         SELECT doc_id, unnest(range(len(l))) AS place, unnest([x.p FOR x IN l]) AS page, unnest([x.s FOR x IN l]) AS made_by FROM e""",
+    "pdf_split_scan": f"SELECT doc_id, count(*) AS shown, 5::BIGINT AS objects, 15::BIGINT AS numbers FROM ({_LINES_SQL}) GROUP BY doc_id",
     "pdf_edit_rotate": f"SELECT doc_id, k AS page, CASE WHEN k = 0 THEN 90 ELSE 0 END::BIGINT AS rotate FROM ({_LINES_SQL})",
     "pdf_edit_box": f"SELECT doc_id, 36.0::DOUBLE AS x, 360.0::DOUBLE AS y, 5.0::DOUBLE AS height, 306.0::DOUBLE AS page_width FROM ({_LINES_SQL}) WHERE k = 0 AND length(line) > 0",
     "pdf_save_appended": "SELECT doc_id, true AS appended FROM documents",
