@@ -11,7 +11,7 @@ from ..functions import filters as fl
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import graph, ranges
-from ..streaming import ingest
+from ..streaming import ingest, revisions
 from .pdf import _DIGEST_SQL, _LETTERS_SQL, _ROMAN_SQL, _doc, built, table
 
 
@@ -20,6 +20,17 @@ def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.newest_wins(log, ["user_id"], F.col("ts"), F.col("event_type") == "error").select("user_id", "event_id", "event_type", "value")
 
 
+def stream_newest_wins(spark, sf_dir):
+    """The same from a stream that brings the log in several batches, with every third row twice."""
+    top = f"{graph.shared_folder(spark)}/quirelake-revisions-{uuid.uuid4().hex}"
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    log.unionByName(log.where("event_id % 3 = 0")).repartition(4, "event_id").write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
+    changed = revisions.changes(stream, ["user_id"], F.col("at"), F.col("event_type") == "error")
+    revisions.follow(changed, f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return revisions.current(spark, f"{top}/out", changed.schema, ["user_id"]).select("user_id", "event_id", "event_type", "value")
+
+
 def hybrid_fill(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     first = e.groupBy("user_id").agg(F.max_by(F.when(F.col("event_type") != "error", F.col("value")), "ts").alias("value"))
@@ -224,8 +235,11 @@ def stream_ingest(spark, sf_dir):
     return _doc(named, F.char_length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+_NEWEST_SQL = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'"
+
 ORACLES = {
-    "xref_newest_wins": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'",
+    "stream_newest_wins": _NEWEST_SQL,
+    "xref_newest_wins": _NEWEST_SQL,
     "hybrid_fill": "SELECT user_id, coalesce(max(CASE WHEN event_type <> 'error' THEN value END) FILTER (k = 1), max(value) FILTER (j = 1)) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS j FROM events) GROUP BY user_id",
     "label_asof": """WITH r AS (SELECT o_orderpriority AS grp, o_orderdate AS pos, max(o_orderkey) AS rule FROM orders GROUP BY 1, 2), l AS (SELECT o_orderpriority AS grp, o_orderdate + INTERVAL 12 HOUR AS pos, o_orderkey AS k FROM orders WHERE o_orderstatus = 'F')
         SELECT l.k, l.grp, r.rule FROM l ASOF LEFT JOIN r ON l.grp = r.grp AND l.pos >= r.pos""",
