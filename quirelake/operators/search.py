@@ -21,6 +21,7 @@ FEW_PAGES = 200_000
 FEW_FILES = 500
 #: From this length on a needle without an index is looked for in texts first, so that glyphs are read for pages that have it.
 RARE = 5
+_BLOCK = 64
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -78,8 +79,11 @@ def find(pages: DataFrame, query: str, case_sensitive: bool = False, whole_word:
 
 
 def _touched(run: Column, start: Column, end: Column) -> Column:
-    """Height of a run and the glyphs of it that a range covers."""
-    return F.struct(run["height"].alias("height"), F.filter(run["glyphs"], lambda b: (b["start"] + 1 > start) & (b["start"] < end)).alias("glyphs"))
+    """Height of a run and the glyphs of it that a range covers: a slice where each character has a glyph of its own."""
+    first = F.greatest(start, F.lit(0))
+    cut = F.slice(run["glyphs"], first + 1, F.greatest(F.least(end, run["stop"] - run["at"]) - first, F.lit(0)))
+    some = F.filter(run["glyphs"], lambda b: (b["start"] + 1 > start) & (b["start"] < end))
+    return F.struct(run["height"].alias("height"), F.when(run["plain"], cut).otherwise(some).alias("glyphs"))
 
 
 def _rects(run: Column, y_down: bool, m: Column | None = None, scale: float = 1.0) -> Column:
@@ -103,6 +107,33 @@ def _rects(run: Column, y_down: bool, m: Column | None = None, scale: float = 1.
     return F.transform(merged, lambda r: g.rect(r["x0"], r["y0"], r["x1"], r["y1"]))
 
 
+def _hits(hay: Column, needle: str, whole_word: bool) -> Column:
+    """Matches of a page in its own row: start, end, text and the runs with the glyphs that each touches."""
+    text, size = F.col("text"), len(needle)
+    step = lambda acc, r: F.struct((acc["at"] + F.char_length(r["text"])).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets = F.aggregate("runs", begin, step, lambda acc: acc["out"])
+    plain = lambda r: F.aggregate(r["glyphs"], F.lit(0), lambda i, b: F.when(b["start"] == i, i + 1).otherwise(-1)) == F.char_length(r["text"])
+    laid = F.zip_with("runs", offsets, lambda r, o: F.struct(o.alias("at"), (o + F.char_length(r["text"])).alias("stop"), plain(r).alias("plain"), r["height"].alias("height"), r["glyphs"].alias("glyphs")))
+    # blocks of runs, so that a match looks at few of a long page
+    many = lambda runs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(runs), F.lit(1)), F.lit(_BLOCK)), lambda i: F.slice(runs, i, F.lit(_BLOCK)))
+    near = lambda r, s: (r["stop"] > s) & (r["at"] < s + size)
+    at = starts(hay, needle)
+    if whole_word:
+        before = lambda s: F.when(s > 0, F.substring(text, s, F.lit(1))).otherwise("")
+        at = F.filter(at, lambda s: ~before(s).rlike(_WORD) & ~F.substring(text, s + size + 1, F.lit(1)).rlike(_WORD))
+
+    def hit(blocks: Column, s: Column) -> Column:
+        some = F.filter(blocks, lambda b: (F.element_at(b, -1)["stop"] > s) & (F.element_at(b, 1)["at"] < s + size))
+        met = F.flatten(F.transform(some, lambda b: F.filter(b, lambda r: near(r, s))))
+        spans = F.filter(F.transform(met, lambda r: _touched(r, s - r["at"], s + size - r["at"])), lambda r: F.size(r["glyphs"]) > 0)
+        return F.struct(s.alias("start"), (s + size).alias("end"), F.substring(text, s + 1, F.lit(size)).alias("text"), spans.alias("spans"))
+
+    # arrays of one, so that the runs are laid out once for all matches
+    told = F.transform(F.transform(F.array(laid), many), lambda blocks: F.transform(at, lambda s: hit(blocks, s)))
+    return F.filter(F.element_at(told, 1), lambda h: F.size(h["spans"]) > 0)
+
+
 def _first_pages(texts: DataFrame, query: str, case_sensitive: bool, whole_word: bool, limit: int | None) -> DataFrame:
     """Pages with the needle, by their texts alone; with a limit only those of a file where matches before the page haven't reached it."""
     needle = query if case_sensitive else query.lower()
@@ -145,15 +176,10 @@ def search(corpus: PdfCorpus, query: str, case_sensitive: bool = False, whole_wo
         stop = limit if limit_per_file else None
         if stop is not None or index is not None or len(needle) >= RARE:
             paged = _on(paged, _first_pages(texts, query, case_sensitive, whole_word, stop))
-    step = lambda acc, r: F.struct((acc["at"] + F.char_length(r["text"])).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    offsets = F.aggregate("runs", begin, step, lambda acc: acc["out"])
     hay = F.col("text") if case_sensitive else F.lower("text")
-    paged = paged.where(F.contains(hay, F.lit(needle))).withColumn("offsets", offsets)
-    found = find(paged, query, case_sensitive, whole_word, keep=["runs", "offsets"])
-    spans = F.filter(F.arrays_zip("runs", "offsets"), lambda z: (z["offsets"] + F.char_length(z["runs"]["text"]) > F.col("start")) & (z["offsets"] < F.col("end")))
-    spans = F.transform(spans, lambda z: _touched(z["runs"], F.col("start") - z["offsets"], F.col("end") - z["offsets"]))
-    found = found.select("file_id", "page_index", "start", "end", "text", F.filter(spans, lambda s: F.size(s["glyphs"]) > 0).alias("spans")).where(F.size("spans") > 0)
+    hits = _hits(hay, needle, whole_word)
+    # an array ends where the limit does, and only matches with the glyphs that they touch leave the page's row
+    found = paged.where(F.contains(hay, F.lit(needle)) & F.lit(needle != "")).select("file_id", "page_index", F.inline(F.slice(hits, 1, limit) if limit is not None else hits))
     if limit is not None:
         found = limited(found, limit, limit_per_file)
     else:
