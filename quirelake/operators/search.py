@@ -226,3 +226,12 @@ def step_match(matches: DataFrame, delta: int = 1) -> DataFrame:
     out = matches.withColumn("match", k).withColumn("n", F.count("*").over(by))
     to = F.col("match") + delta
     return out.withColumn("to", F.when(to < 0, F.col("n") - 1).when(to >= F.col("n"), F.lit(0)).otherwise(to)).drop("n")
+
+
+def on_pages(matches: DataFrame, current: int = 0) -> DataFrame:
+    """The matches of each page in order (``rects``), and which of them is match ``current`` of its file: file_id, page_index, rects, current_at, -1 where none is."""
+    by = Window.partitionBy("file_id").orderBy("page_index", "start")
+    numbered = matches.withColumn("_k", F.row_number().over(by) - 1)
+    listed = numbered.groupBy("file_id", "page_index").agg(F.min("_k").alias("_first"), F.array_sort(F.collect_list(F.struct("start", "rects"))).alias("m"))
+    at = F.lit(current) - F.col("_first")
+    return listed.select("file_id", "page_index", F.transform("m", lambda x: x["rects"]).alias("rects"), F.when((at >= 0) & (at < F.size("m")), at).otherwise(-1).cast("int").alias("current_at"))

@@ -138,6 +138,12 @@ def pdf_search_limit_saved(spark, sf_dir):
     return _doc(found, F.col("page_index").cast("long").alias("page"), F.col("start").cast("long").alias("start"), "truncated")
 
 
+def pdf_match_marks(spark, sf_dir):
+    """Matches of each page with the third one of its file marked."""
+    found = se.search(built(spark, sf_dir, one_page_a_line=True), NEEDLE, limit=None, space="page")
+    return _doc(se.on_pages(found, 2), F.col("page_index").cast("long").alias("page"), F.size("rects").cast("long").alias("n"), F.col("current_at").cast("long").alias("current_at"))
+
+
 def pdf_snippets(spark, sf_dir):
     corpus = built(spark, sf_dir)
     return _doc(se.snippets(se.find(corpus.page_text, NEEDLE), corpus.page_text, first=10), F.col("hit").cast("long").alias("hit"), "before", "text", "after", F.col("more").cast("long").alias("more"))
@@ -316,6 +322,8 @@ ORACLES = {
     "pdf_search_limit_saved": f"""WITH l AS ({_LINES_SQL}), p AS (SELECT doc_id, k, unnest(string_split(lower(line), '{NEEDLE}')) AS piece, unnest(range(len(string_split(lower(line), '{NEEDLE}')))) AS i, len(string_split(lower(line), '{NEEDLE}')) AS c FROM l),
         m AS (SELECT doc_id, k, i, c, (sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) + i * {len(NEEDLE)})::BIGINT AS "start" FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, "start") AS j, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE i < c - 1)
         SELECT doc_id, k::BIGINT AS page, "start", n >= 3 AS truncated FROM r WHERE j <= 3""",
+    "pdf_match_marks": f"""WITH l AS (SELECT doc_id, k, len(string_split(lower(line), '{NEEDLE}')) - 1 AS n FROM ({_LINES_SQL})), m AS (SELECT doc_id, k, n, (sum(n) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT - n AS b FROM l WHERE n > 0)
+        SELECT doc_id, k::BIGINT AS page, n::BIGINT AS n, CASE WHEN b <= 2 AND 2 < b + n THEN 2 - b ELSE -1 END::BIGINT AS current_at FROM m""",
     "pdf_search_rects": f"""WITH l AS ({_LINES_SQL}), p AS (SELECT doc_id, k, unnest(string_split(lower(line), '{NEEDLE}')) AS piece, unnest(range(len(string_split(lower(line), '{NEEDLE}')))) AS i, len(string_split(lower(line), '{NEEDLE}')) AS c FROM l),
         s AS (SELECT doc_id, k, i, c, (sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) + i * 3)::BIGINT AS pos FROM p)
         SELECT doc_id, k AS page, pos AS "start", 1::BIGINT AS n, 72.0::DOUBLE + 6 * pos AS x0, 717.8::DOUBLE AS y0, 72.0::DOUBLE + 6 * pos + 18 AS x1, 727.8::DOUBLE AS y1 FROM s WHERE i < c - 1""",
