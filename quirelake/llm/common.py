@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -236,6 +235,8 @@ def same_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.n
     Ranges are grouped by hash; every one is then compared with its group's first member byte by byte, and those that differ from it
     are told apart by their bytes.
     """
+    import pandas as pd  # workers of other operators do without
+
     code, unique = pd.factorize(hashes)
     code = code.astype(np.int64)
     member = np.zeros(len(unique), np.int64)
