@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from quirelake.llm import licenses, media, packing, url_rules
-from quirelake.plans import relational
 
 
 # -- 7 packing ----------------------------------------------------------------------
@@ -50,15 +49,6 @@ def test_notice_with_words_put_in(spark):
     assert len(part) == 1 and part[0].coverage < 0.6
 
 
-# -- the set operations -------------------------------------------------------------
-
-
-def test_roman_and_letters_of_every_part(spark, tmp_path):
-    spark.createDataFrame([(n,) for n in (1, 3999, 4000, 20000)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
-    got = {r.n: (r.roman, r.letters) for r in relational.roman_and_letters(spark, str(tmp_path)).collect()}
-    assert got[4000] == ("mmmm", "EWV") and got[20000] == ("m" * 20, "ACOF") and len(got) == 4
-
-
 # -- 1 media ------------------------------------------------------------------------
 
 
