@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import graph, search
+from quirelake.operators import graph
+from quirelake.plans import relational, search
 from quirelake.plans import pdf
 from quirelake.sources.pdf import PdfCorpus
 
@@ -58,3 +59,9 @@ def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError):
         graph.shared_folder(Session())
     assert F.lit(1) is not None and graph.shared_folder(spark)
+
+
+def test_roman_and_letters_of_every_part(spark, tmp_path):
+    spark.createDataFrame([(n,) for n in (1, 3999, 4000, 20000)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.n: (r.roman, r.letters) for r in relational.roman_and_letters(spark, str(tmp_path)).collect()}
+    assert got[4000] == ("mmmm", "EWV") and got[20000] == ("m" * 20, "ACOF") and len(got) == 4
