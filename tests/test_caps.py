@@ -3,9 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import graph
-from quirelake.plans import relational, search
-from quirelake.plans import pdf
+from quirelake.operators import graph, search
+from quirelake.plans import pdf, relational
 from quirelake.sources.pdf import PdfCorpus
 
 SF = "/root/testdata/sf0.001"
