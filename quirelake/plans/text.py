@@ -13,6 +13,7 @@ from ..operators import content_state, graph
 from ..operators import pages as pg
 from ..operators import search as se
 from ..operators.edit import PdfSink
+from ..sources import pdf_source
 from ..sources.pdf import read_pdf
 from .pdf import _DIGEST_SQL, _LINES_SQL, NEEDLE, TITLES, _digest, _doc, _edited, _match_rows, _matches_sql, built, table
 
@@ -99,6 +100,18 @@ def pdf_read_directory(spark, sf_dir):
     return _doc(text, F.char_length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+def pdf_source_pages(spark, sf_dir):
+    """The second and third page of every file, by a data source that interprets these pages alone."""
+    spark.dataSource.register(PdfSink)
+    pdf_source.register(spark)
+    top = f"{graph.shared_folder(spark)}/quirelake-files-{uuid.uuid4().hex}"
+    files = built(spark, sf_dir, one_page_a_line=True).contents.select(F.concat("file_id", F.lit(".pdf")).alias("name"), "content")
+    files.write.format("pdf_files").mode("append").save(top)
+    pages = spark.read.format("pdf").option("table", "page_text").load(top).where("page_index >= 1 and page_index < 3")
+    named = pages.withColumn("file_id", F.regexp_extract("file_id", r"(\d+)\.pdf$", 1))
+    return _doc(named, F.col("page_index").cast("long").alias("page"), "text")
+
+
 def matrix_parts(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     m = g.concat(g.rotation(F.col("l_linenumber") * 30), g.translation(F.col("l_quantity"), F.col("l_tax")))
@@ -125,6 +138,7 @@ ORACLES = {
         {_by_operator("0", "1.5", "0", "0", "0", "0", "2", "0")}::DOUBLE AS char, {_by_operator("0", "0", "2", "0", "0", "0", "1", "0")}::DOUBLE AS word, {_by_operator("0", "0", "0", "0", "3", "0", "0", "0")}::DOUBLE AS rise,
         {_by_operator("0", "0", "0", "0", "0", "0", "0", "3")}::DOUBLE AS mode, {_by_operator("1", "1", "1", "0.5", "1", "1", "1", "1")}::DOUBLE AS scale, 10.0::DOUBLE AS font_size FROM ({_LINES_SQL})""",
     "pdf_state_nested": f"SELECT doc_id, 8.0::DOUBLE AS x, 180.0::DOUBLE AS y, 0.25::DOUBLE AS scale, -10.0::DOUBLE AS shift, 2::BIGINT AS depth FROM ({_LINES_SQL}) WHERE k = 0 AND length(line) > 0",
+    "pdf_source_pages": f"SELECT doc_id, k::BIGINT AS page, line AS text FROM ({_LINES_SQL}) WHERE k IN (1, 2) AND length(line) > 0",
     "pdf_operator_text": _DIGEST_SQL,
     "pdf_inline_images": f"""WITH d AS (SELECT DISTINCT doc_id, n FROM ({_LINES_SQL})) SELECT doc_id, op, (CASE op WHEN 'BI' THEN 1 WHEN 'TJ' THEN (n + 3) // 8 WHEN 'TD' THEN n // 8 ELSE 2 * (n // 8) END)::BIGINT AS n
         FROM d, (VALUES ('BI'), ('TJ'), ('TD'), ('Tr')) v(op) WHERE op = 'BI' OR (op = 'TJ' AND n > 4) OR n > 7""",

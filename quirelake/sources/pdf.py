@@ -97,7 +97,7 @@ def _files(pdf: PdfFile) -> Iterator[tuple]:
 
 
 def _pages(pdf: PdfFile) -> Iterator[tuple]:
-    for i, p in enumerate(pdf.pages()):
+    for i, p in _wanted(pdf):
         media = _rect(p.inherited.get("MediaBox")) or dict(x0=0.0, y0=0.0, x1=612.0, y1=792.0)
         yield (i, p.num, len(p.order), list(p.order), media, _rect(p.inherited.get("CropBox")) or media, quarter_turn(p.inherited.get("Rotate")))
 
@@ -116,8 +116,14 @@ def _streams(pdf: PdfFile) -> Iterator[tuple]:
             yield (n, pdf.filters_of(value), len(value.raw), data, codec)
 
 
+def _wanted(pdf: PdfFile) -> list[tuple[int, Page]]:
+    """Pages with their places; a reader may want some of them alone."""
+    wanted = getattr(pdf, "wanted", None)
+    return [(i, p) for i, p in enumerate(pdf.pages()) if wanted is None or wanted(i)]
+
+
 def _with_text(pdf: PdfFile) -> list[tuple[int, Page]]:
-    return [] if pdf.encrypted else list(enumerate(pdf.pages()))
+    return [] if pdf.encrypted else _wanted(pdf)
 
 
 def _ops(pdf: PdfFile) -> Iterator[tuple]:
@@ -267,6 +273,14 @@ def _parsed(kinds: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[t
     return run
 
 
+def to_batches(kind: str, schema: pa.Schema, files: Iterator[tuple[str, PdfFile]]) -> Iterator[pa.RecordBatch]:
+    """Rows of one table for (file_id, file)."""
+    rows = _HOLDERS.get(kind, _Rows)(kind, schema)
+    for file_id, pdf in files:
+        yield from rows.add(file_id, pdf)
+    yield from rows.rest()
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
