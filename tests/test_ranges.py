@@ -15,7 +15,7 @@ def keyed(n=600, hot=0.7, seed=1):
     return [(None if rng.random() < 0.03 else "hot" if rng.random() < hot else f"k{rng.randrange(40)}", rng.choice([None, *range(n // 2)]), i, rng.randint(-5, 9) if rng.random() < 0.95 else None) for i in range(n)]
 
 
-@pytest.mark.parametrize("bins", [None, 1, 16, 300])
+@pytest.mark.parametrize("bins", [None, 16, 300])
 def test_running(spark, bins):
     rows = keyed()
     df = spark.createDataFrame(rows, "k string, o int, i int, v int")

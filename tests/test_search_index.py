@@ -61,21 +61,22 @@ def saved(spark, tmp_path_factory):
     rng = random.Random(2)
     files = [(f"f{i}", bytearray(b.document("\n".join(" ".join(rng.choices(WORDS[:3] + WORDS[9:12], k=6)) for _ in range(8)), one_page_a_line=True))) for i in range(12)]
     corpus = PdfCorpus(spark.createDataFrame(files, "file_id string, content binary"))
-    return corpus, corpus.save_tables(str(tmp_path_factory.mktemp("saved") / "t"), ["text_runs", "pages", "files"])
+    kept = corpus.save_tables(str(tmp_path_factory.mktemp("saved") / "t"), ["text_runs", "pages", "files"])
+    return corpus, kept, SearchIndex.build(kept.page_text, str(tmp_path_factory.mktemp("saved") / "i"))
 
 
 @pytest.mark.parametrize("options", [dict(limit=None), dict(limit=3), dict(limit=3, whole_word=True), dict(limit=2, limit_per_file=False), dict(limit=None, space="page"), dict(limit=5, case_sensitive=True)])
 @pytest.mark.parametrize("query", ["the", "worthless"])
-def test_saved_pages_give_the_same_rows(spark, saved, tmp_path, query, options):
-    parsed, kept = saved
+def test_saved_pages_give_the_same_rows(saved, query, options):
+    parsed, kept, index = saved
     want = rows(search.search(parsed, query, **options))
     assert rows(search.search(kept, query, **options)) == want and want
-    assert rows(search.search(kept, query, index=SearchIndex.build(kept.page_text, str(tmp_path / "i")), **options)) == want
+    assert rows(search.search(kept, query, index=index, **options)) == want
 
 
 def test_only_pages_up_to_the_limit_are_expanded(saved):
     """Pages behind those that reach the limit are in no row that glyphs are read for."""
-    _, kept = saved
+    _, kept, _ = saved
     for limit in (1, 4, 1000):
         pages = search._first_pages(kept.page_text, "the", False, False, limit)
         per = {}
@@ -87,7 +88,7 @@ def test_only_pages_up_to_the_limit_are_expanded(saved):
 
 
 def test_tables_that_follow_from_saved_pages(saved):
-    parsed, kept = saved
+    parsed, kept, _ = saved
     assert rows(kept.page_text) == rows(parsed.page_text)
     key = lambda c: sorted((r.file_id, r.page_index, r.run_seq, r.text, r.x, r.y, len(r.glyphs)) for r in c.text_runs.collect())
     assert key(kept) == key(parsed) and kept.text_runs.columns == parsed.text_runs.columns
