@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = {k for k in __spark_entry__.queries() if k.startswith("op")}
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
