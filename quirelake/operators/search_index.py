@@ -15,7 +15,10 @@ is folded in the index, and searches that heed case look up the folded character
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,22 @@ def grams(text: Column) -> Column:
     return F.array_distinct(joined(joined(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))), F.slice(c, 3, F.greatest(F.size(c), F.lit(1)))))
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of slots for each (three characters, block) of pages (no, text), some thousand pages at a time; ``grams`` of each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            held: dict[tuple[str, int], list[int]] = {}
+            b = batch.slice(at, 2048)
+            for no, t in zip(b.column("no").to_pylist(), b.column("text").to_pylist()):
+                block, slot = no >> BLOCK_BITS, no & (1 << BLOCK_BITS) - 1
+                for gram in {t[i : i + 3] for i in range(len(t or ""))}:
+                    held.setdefault((gram, block), []).append(slot)
+            lists = list(held.values())
+            sizes = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+            slots = pa.ListArray.from_arrays(sizes, pa.array([s for x in lists for s in x], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in held], pa.string()), pa.array([k for _, k in held], pa.int64()), slots], ["gram", "block", "slots"])
+
+
 class SearchIndex:
     """The index below ``path``, which is a folder that all executors reach."""
 
@@ -80,14 +99,14 @@ class SearchIndex:
         rows = page_text.select(F.monotonically_increasing_id().alias("no"), F.col("file_id").cast("string").alias("file_id"), F.col("page_index").cast("int").alias("page_index"), "text")
         rows.write.mode("overwrite").parquet(f"{self.path}/pages/segment={n}")
         pages = self.spark.read.schema(_PAGES).parquet(f"{self.path}/pages/segment={n}")
-        each = pages.select(F.shiftright("no", BLOCK_BITS).alias("block"), F.col("no").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("slot"), F.explode(grams(F.col("text"))).alias("gram"))
-        lists = each.groupBy("gram", "block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+        # a task numbers its pages in a row, so most of a list is put together before anything is shuffled
+        parts = pages.select("no", F.lower("text").alias("text")).mapInArrow(_lists, "gram string, block long, slots array<int>")
+        lists = parts.groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("slots"))).alias("slots"))
         self._write(lists.select("gram", "block", F.size("slots").alias("n"), F.element_at("slots", 1).alias("first"), F.element_at("slots", -1).alias("last"), "slots"), n)
         return n
 
     def _write(self, postings: DataFrame, n: int) -> None:
-        laid = postings.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
-        laid.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/postings/segment={n}")
+        postings.sortWithinPartitions("gram", "block").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/postings/segment={n}")
 
     def merge(self) -> SearchIndex:
         """Put all segments together in a new one and drop them. Of pages that were indexed more than once the newest text is kept."""
