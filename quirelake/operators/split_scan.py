@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SPLIT = 4 << 20
 #: Bytes before a match that say which object it begins.
 _BEHIND = 64
+#: Matches that leave as one Arrow batch.
+_MATCHES = 8192
 _SPECIAL, _IN_STRING, _LINE_END = re.compile(rb"[(%]"), re.compile(rb"[\\()]"), re.compile(rb"[\r\n]")
 #: A state is twice (0 in a comment, 1 outside, 1 + d in a string of depth d), and one more where the next byte is escaped.
 _COMMENT, _OUTSIDE = 0, 2
@@ -132,9 +134,9 @@ def entry_states(contents: DataFrame, split: int = SPLIT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = _summary(b.column("data")[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column("file_id").slice(i, 1), b.column("k").slice(i, 1), *[pa.array([v], t) for v, t in zip(row, _TYPES)]], ["file_id", "k", *_NAMES])
+            for part in (b.slice(at, 512) for at in range(0, b.num_rows, 512)):
+                rows = [_summary(x.as_py()) for x in part.column("data")]
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), part.column("k"), *[pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)]], ["file_id", "k", *_NAMES])
 
     told = ranges(contents, split).select("file_id", "k", "data").mapInArrow(run, "file_id string, k int, " + ", ".join(f"{n} {t}" for n, t in zip(_NAMES, _DDL)))
     listed = told.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("k", *_NAMES)), lambda x, y: x["k"] - y["k"]).alias("parts"))
@@ -163,6 +165,7 @@ def find_outside(contents: DataFrame, needle: bytes, split: int = SPLIT) -> Data
     own = ranges(contents, split, _BEHIND, len(needle) - 1).join(entry_states(contents, split), ["file_id", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at, behind = [], [], []
         for b in batches:
             for i in range(b.num_rows):
                 lead, start, data = b.column("lead")[i].as_py(), b.column("start")[i].as_py(), b.column("data")[i].as_py()
@@ -172,8 +175,15 @@ def find_outside(contents: DataFrame, needle: bytes, split: int = SPLIT) -> Data
                     while (a := body.find(needle, a, min(stop + len(needle) - 1, len(body)))) >= 0:
                         places.append(a)
                         a += 1
-                before = [data[max(0, lead + p - _BEHIND) : lead + p] for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("file_id")[i].as_py()] * len(places), pa.string()), pa.array([start + p for p in places], pa.int64()), pa.array(before, pa.binary())], ["file_id", "at", "before"])
+                for lo in range(0, len(places), _MATCHES):
+                    some = places[lo : lo + _MATCHES]
+                    ids += [b.column("file_id")[i].as_py()] * len(some)
+                    at += [start + p for p in some]
+                    behind += [data[max(0, lead + p - _BEHIND) : lead + p] for p in some]
+                    if len(ids) >= _MATCHES:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(behind, pa.binary())], ["file_id", "at", "before"])
+                        ids, at, behind = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(behind, pa.binary())], ["file_id", "at", "before"])
 
     return own.select("file_id", "start", "lead", "data", "state").mapInArrow(run, "file_id string, at long, before binary")
 
