@@ -46,7 +46,12 @@ def test_texts_without_places(more):
 
 def test_edits_of_every_file_join_nothing(spark):
     after = pdf._page_lines(pdf._edited(spark, SF, [{"op": "insert_copy", "at": 0, "page": 1}], incremental=False))
-    assert "Exchange" not in plan(after) and "Join" not in plan(after)
+    assert plan(after).count("Exchange") == 1 and "Join" not in plan(after)  # the one that deals documents
+
+
+def test_documents_are_dealt_to_all_cores(spark):
+    sizes = pdf.built(spark, SF).contents.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(r.n for r in sizes) < sum(r.n for r in sizes) / 4
 
 
 def test_facts_by_one_parse(spark):
