@@ -88,3 +88,17 @@ def test_matches_leave_many_at_a_time(spark):
     made = spark.createDataFrame([(str(i), bytearray(b"x Tj (x Tj) " * 200)) for i in range(20)], "file_id string, content binary")
     assert split_scan.find_outside(made, b" Tj", 700).count() == 20 * 200
     assert PdfCorpus(made).contents.count() == 20
+
+
+def test_a_knapsack_looks_at_every_class():
+    """The only class that fills the rest is of least worth for its size, behind many that don't fit together."""
+    import numpy as np
+
+    from quirelake.llm import packing
+
+    size = np.array([1000, *range(2100, 2800)])
+    worth = np.array([0.0001, *(size[1:] / 4096)])
+    size, worth = np.append(size, 1200), np.append(worth, 0.0002)
+    best = max(w + (0.0002 if s + 1200 <= 4096 else 0) + (0.0001 if s + 2200 <= 4096 else 0) for s, w in zip(size[1:-1], worth[1:-1]))
+    count = packing._price(size, worth, np.ones(len(size), np.int64), 4096)
+    assert (count * size).sum() <= 4096 and (count * worth).sum() >= 0.998 * best
