@@ -6,7 +6,8 @@ space of those directions. The sorted sequence is cut into blocks, blocks into a
 boxes, and pairs of intervals are joined recursively: a pair whose boxes are further apart than epsilon is
 dropped with all below it, because a rotation's leading coordinates never exceed the distance. Pairs of blocks
 that remain are compared by matrix products in double precision, which emit link counts and a spanning forest
-of the links, never the pairs themselves.
+of the links, never the pairs themselves. They are compared tile by tile, a tile being two runs of blocks of up to ``TILE`` bytes each, so a block is
+shuffled once for each tile that needs it and not for each pair.
 
 Equal vectors are collapsed first, so a vector that a third of all rows share is one row.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, list_array, spread, stored
+from .common import components, list_array, sized, spread, stored
 
 MIN_COSINE = 0.9
 LEAD = 8
@@ -33,6 +34,8 @@ LEAD = 8
 FIT_ROWS = 5_000
 BLOCK = 2_048
 FAN = 8
+#: Bytes of unit vectors on either side of a tile.
+TILE = 32 << 20
 
 
 def directions(reps: DataFrame, dim: int, lead: int = LEAD, fit_rows: int = FIT_ROWS) -> np.ndarray:
@@ -127,21 +130,20 @@ def _join(reps: DataFrame, dim: int, min_cosine: float, block: int, lead: int) -
     part, k = F.shiftright("seq", 33), F.col("seq").bitwiseAND((1 << 33) - 1)
     top = blocks.agg(F.max(part).alias("p"), F.max(k).alias("k")).first()
     per = (top["k"] or 0) + 1
-    boxes = stored(places.select((part * per + k).alias("i"), "seq", "lo", "hi"))
-    pairs = _surviving(boxes, ((top["p"] or 0) + 1) * per, epsilon, len(axes))
-    data = blocks.select("seq", "ids", "weights", "units").join(boxes.select("seq", "i"), "seq").drop("seq")
-    left = data.select(F.col("i"), F.col("ids").alias("ids_a"), F.col("weights").alias("w_a"), F.col("units").alias("u_a"))
-    right = data.select(F.col("i").alias("j"), F.col("ids").alias("ids_b"), F.col("weights").alias("w_b"), F.col("units").alias("u_b"))
-    both = pairs.join(left, "i").join(right, "j").repartition(spread(spark), "i", "j")
-    floor = min_cosine
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                get = lambda c, kind: np.frombuffer(b.column(c)[r].as_py(), kind)  # noqa: B023, E731
-                yield _links(b.column("i")[r].as_py() == b.column("j")[r].as_py(), get("ids_a", np.int64), get("w_a", np.int64), get("u_a", np.float64).reshape(-1, dim), get("ids_b", np.int64), get("w_b", np.int64), get("u_b", np.float64).reshape(-1, dim), floor)
+    n_places = ((top["p"] or 0) + 1) * per
+    boxes = stored(blocks.select((part * per + k).alias("i"), "lo", "hi"))
+    # as few tiles as memory allows, but some for every core
+    side = max(1, min(TILE // (block * dim * 8), int(np.ceil(n_places / np.sqrt(6 * spread(spark))))))
+    tile = [F.floor(F.col(c) / side).alias(f"tile_{c}") for c in "ij"]
+    pairs = stored(_surviving(boxes, n_places, epsilon, len(axes)).select(*tile, "i", "j"))
+    needed = pairs.select("tile_i", "tile_j", F.explode(F.array("i", "j")).alias("place")).distinct()
+    data = blocks.select((part * per + k).alias("place"), "ids", "weights", "units").join(sized(stored(needed)), "place")
+
+    def compare(met: pa.Table, own: pa.Table) -> pa.Table:
+        held = {x: [np.frombuffer(c[r].as_buffer(), kind) for c, kind in zip(b.columns[1:], (np.int64, np.int64, np.float64))] for b in own.select(["place", "ids", "weights", "units"]).to_batches() for r, x in enumerate(b.column(0).to_pylist())}
+        return _tile(list(zip(met["i"].to_pylist(), met["j"].to_pylist())), held, dim, min_cosine)
 
-    return both.mapInArrow(compare, "rep long, links long, to array<long>")
+    return pairs.groupBy("tile_i", "tile_j").cogroup(data.groupBy("tile_i", "tile_j")).applyInArrow(compare, "rep long, links long, to array<long>")
 
 
 def _surviving(boxes: DataFrame, n: int, epsilon: float, lead: int) -> DataFrame:
@@ -170,10 +172,23 @@ def _surviving(boxes: DataFrame, n: int, epsilon: float, lead: int) -> DataFrame
     return pairs
 
 
-def _links(same: bool, ids_a, w_a, u_a, ids_b, w_b, u_b, floor: float) -> pa.RecordBatch:
-    """Counts and forest edges of one pair of blocks, a few hundred rows at a time."""
-    count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-    parent = np.arange(len(ids_a) + len(ids_b))
+def _tile(pairs: list[tuple[int, int]], held: dict[int, list[np.ndarray]], dim: int, floor: float) -> pa.Table:
+    """Counts and forest edges of pairs of blocks (ids, weights, units of each by its place)."""
+    places = sorted(held)
+    at = dict(zip(places, np.cumsum([0, *[len(held[x][0]) for x in places]]).tolist()))
+    ids = np.concatenate([held[x][0] for x in places])
+    counts, parent, to_by = np.zeros(len(ids), np.int64), np.arange(len(ids)), {}
+    for i, j in sorted(pairs):
+        (_, w_a, u_a), (_, w_b, u_b) = held[i], held[j]
+        for a, c in _links(at[i], w_a, u_a.reshape(-1, dim), at[j], w_b, u_b.reshape(-1, dim), floor, counts, parent):
+            to_by.setdefault(a, []).append(int(ids[c]))
+    keep = np.flatnonzero(counts)
+    return pa.table({"rep": ids[keep], "links": counts[keep], "to": pa.array([to_by.get(x, []) for x in keep.tolist()], pa.list_(pa.int64()))})
+
+
+def _links(at_a: int, w_a, u_a, at_b: int, w_b, u_b, floor: float, counts: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
+    """Counts of one pair of blocks, which start at these rows of ``counts`` and ``parent``, a few hundred rows at a time, and forest edges that join what ``parent`` has apart."""
+    same, made = at_a == at_b, []
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -181,36 +196,27 @@ def _links(same: bool, ids_a, w_a, u_a, ids_b, w_b, u_b, floor: float) -> pa.Rec
             x = parent[x]
         return x
 
-    made: list[tuple[int, int]] = []
-    for at in range(0, len(ids_a), 512):
+    for at in range(0, len(u_a), 512):
         hit = u_a[at : at + 512] @ u_b.T >= floor
         if same:
             hit[np.arange(hit.shape[0]), np.arange(at, at + hit.shape[0])] = False
         if not hit.any():
             continue
-        count_a[at : at + 512] += hit @ w_b
+        counts[at_a + at : at_a + at + len(hit)] += hit @ w_b
         if not same:
-            count_b += w_a[at : at + 512] @ hit
+            counts[at_b : at_b + len(u_b)] += w_a[at : at + 512] @ hit
         # components of this strip: rows with the same smallest partner need no second look
         rows = np.flatnonzero(hit.any(axis=1))
         for r in rows.tolist():
-            partners = np.flatnonzero(hit[r])
-            a = at + r
-            roots = parent[partners + (0 if same else len(ids_a))]
-            _, pick = np.unique(roots, return_index=True)
+            partners = at_b + np.flatnonzero(hit[r])
+            a = at_a + at + r
+            _, pick = np.unique(parent[partners], return_index=True)
             for c in partners[pick].tolist():
-                x, y = find(a), find(c + (0 if same else len(ids_a)))
+                x, y = find(a), find(c)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     made.append((a, c))
             top = find(a)
-            parent[partners + (0 if same else len(ids_a))] = top
+            parent[partners] = top
             parent[a] = top
-    to_by: dict[int, list[int]] = {}
-    for a, c in made:
-        to_by.setdefault(int(ids_a[a]), []).append(int(ids_b[c]))
-    ids = np.concatenate((ids_a, ids_b)) if not same else ids_a
-    counts = np.concatenate((count_a, count_b)) if not same else count_a
-    keep = counts > 0
-    ids, counts = ids[keep], counts[keep]
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array([to_by.pop(int(i), []) for i in ids], pa.list_(pa.int64()))], ["rep", "links", "to"])
+    return made

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quirelake.llm import vectors
@@ -46,3 +47,22 @@ def test_random_ids_in_small_blocks(spark):
     rows += [(rng.choice([None, 4, 70]), v) for _, v in rows[:30]]
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("tile", [16 * 3 * 8, 5 * 16 * 3 * 8, 1 << 20])
+def test_tiles_of_blocks(spark, monkeypatch, tile):
+    """One block, five blocks, and as many as there are on either side of a tile; a block is shuffled once a tile."""
+    monkeypatch.setattr(vectors, "TILE", tile)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(300)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_a_tile_has_one_row_a_vector():
+    """Links of three blocks with each other: counts are added up, and the forest has an edge less than there are vectors."""
+    units = np.array([[1.0, 0.0], [0.999, (1 - 0.999**2) ** 0.5]])
+    held = {k: [np.array([10 * k, 10 * k + 1]), np.array([1, 2]), units.ravel()] for k in range(3)}
+    out = vectors._tile([(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)], held, 2, 0.9).to_pylist()
+    assert [(r["rep"], r["links"]) for r in out] == [(10 * k + i, 9 - (1, 2)[i]) for k in range(3) for i in range(2)]
+    assert sum(len(r["to"]) for r in out) == 5
